@@ -10,10 +10,12 @@ text; null ids come first. An empty table writes no images and reads back empty.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -29,51 +31,73 @@ MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBIQ")
 IMAGES = "part int, block int, part_start long, n_ids long, doc_ids array<bigint>, image binary"
 #: Chunks whose ids a worker remembers; beyond that it forgets them all and starts anew.
-MEMO = 600_000
+MEMO = 800_000
 
 
-class MemoTokenizer:
-    """Encodes whole texts, remembering the ids of each space-led chunk as bytes.
+#: A chunk of letters and closing marks: the byte-level pattern cuts it into just these two.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+class MemoTokenizer(dict):
+    """Encodes whole texts with the tokenizers library, remembering the ids of each space-led chunk as bytes.
 
     A single space between two other characters always starts a new pre-token of the byte-level pattern, so
-    the text's ids are those of its chunks in turn. Texts with two spaces in a row, or one at the end, are
-    encoded as a whole.
+    the text's ids are those of its chunks in turn. A plain chunk goes straight to the library's model; any other
+    chunk, and texts with two spaces in a row or one at the end, go through its whole pipeline.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.of = Tokenizer.from_file(path)
         self.code = "H" if self.of.get_vocab_size() <= 1 << 16 else "I"
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        code = self.code
-        return (array(code, e.ids).tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False))
+        self.model, self.letters = self.of.model, _byte_letters()
+        kind = type(self.of.pre_tokenizer)
+        self.direct = kind is pre_tokenizers.ByteLevel and self.of.normalizer is None and self.of.model.dropout is None and self.of.post_processor is None
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.of.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk."""
+        m = _PLAIN(chunk) if self.direct else None
+        ids = self._piece(" " + m[1]) + (self._piece(m[2]) if m[2] else b"") if m else self._whole(" " + chunk)
+        if len(self) >= MEMO:
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, split, fresh = self.memo, [], set()
-        whole = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or " " not in t]
-        skip = set(whole)
-        firsts = list(self._ids([t[: t.find(" ")] if i not in skip else "" for i, t in enumerate(texts)]))
-        for i, t in enumerate(texts):
-            rest = [] if i in skip else t[t.find(" ") + 1 :].split(" ")
-            split.append(rest)
-            fresh.update(rest)
-        new = [x for x in fresh if x not in memo]
-        memo.update(zip(new, self._ids([" " + x for x in new])))
-        get, dtype = memo.__getitem__, np.dtype(self.code)
-        out = [np.frombuffer(f + b"".join(map(get, rest)), dtype) for f, rest in zip(firsts, split)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = np.frombuffer(ids, dtype)
+        get, dtype, out = self.__getitem__, np.dtype(self.code), []
+        for t in texts:
+            if "  " in t or t[-1:] == " " or " " not in t:
+                out.append(np.frombuffer(self._whole(t), dtype))
+            else:
+                first, *rest = t.split(" ")
+                out.append(np.frombuffer((self._whole(first) if first else b"") + b"".join(map(get, rest)), dtype))
         return out
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> MemoTokenizer:
+    """One for each worker process, whatever the number of its tasks."""
+    return MemoTokenizer(path)
+
+
 def image(docs: list[np.ndarray]) -> bytes:
     ids = np.concatenate(docs)
     body = encode(np.cumsum([len(d) for d in docs])) + ids.astype(ids.dtype.newbyteorder("<")).tobytes()
@@ -111,7 +135,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, bloc
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "part_start", "n_ids", "doc_ids", "image"])
 
         for batch in batches:
-            tok = tok or MemoTokenizer(tokenizer_path)
+            tok = tok or tokenizer(tokenizer_path)
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 for doc_id, row in zip(some.column(0).to_pylist(), tok.encode(some.column(1).to_pylist())):
