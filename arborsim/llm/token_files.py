@@ -48,9 +48,10 @@ def _byte_letters() -> dict[int, str]:
 class MemoTokenizer(dict):
     """Encodes whole texts with the tokenizers library, remembering the ids of each space-led chunk as bytes.
 
-    A single space between two other characters always starts a new pre-token of the byte-level pattern, so
-    the text's ids are those of its chunks in turn. A plain chunk goes straight to the library's model; any other
-    chunk, and texts with two spaces in a row or one at the end, go through its whole pipeline.
+    A single space before another character always starts a pre-token of the byte-level pattern, and a single
+    line end is always one of its own, so the ids of a text are those of its chunks, cut before each. A plain
+    chunk goes straight to the library's model; any other chunk, and texts in which spaces or line ends meet, go
+    through its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -62,6 +63,7 @@ class MemoTokenizer(dict):
         self.of = Tokenizer.from_file(path)
         self.code = "H" if self.of.get_vocab_size() <= 1 << 16 else "I"
         self.model, self.letters = self.of.model, _byte_letters()
+        self.marks: dict[str, bytes] = {}
         kind = type(self.of.pre_tokenizer)
         self.direct = kind is pre_tokenizers.ByteLevel and self.of.normalizer is None and self.of.model.dropout is None and self.of.post_processor is None
 
@@ -69,13 +71,21 @@ class MemoTokenizer(dict):
         return array(self.code, self.of.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        shown = piece.replace(" ", self.letters[32]) if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        """Ids of a space and the chunk."""
-        m = _PLAIN(chunk) if self.direct else None
-        ids = self._piece(" " + m[1]) + (self._piece(m[2]) if m[2] else b"") if m else self._whole(" " + chunk)
+        """Ids of a space and the chunk, or of the chunk alone if it starts with a line end."""
+        line = chunk[:1] == "\n"
+        m = _PLAIN(chunk[line:]) if self.direct else None
+        if m:
+            word, marks = m.groups()
+            if marks and marks not in self.marks:
+                self.marks[marks] = self._piece(marks)
+            ids = self._piece("\n") + self._piece(word) if line else self[word] if marks else self._piece(" " + word)
+            ids += self.marks[marks] if marks else b""
+        else:
+            ids = self._whole(chunk if line else " " + chunk)
         if len(self) >= MEMO:
             self.clear()
         self[chunk] = ids
@@ -84,10 +94,11 @@ class MemoTokenizer(dict):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         get, dtype, out = self.__getitem__, np.dtype(self.code), []
         for t in texts:
-            if "  " in t or t[-1:] == " " or " " not in t:
+            cut = t.replace("\n", " \n")
+            if "  " in cut or "\n " in cut or cut[-1:] == " " or " " not in cut:
                 out.append(np.frombuffer(self._whole(t), dtype))
             else:
-                first, *rest = t.split(" ")
+                first, *rest = cut.split(" ")
                 out.append(np.frombuffer((self._whole(first) if first else b"") + b"".join(map(get, rest)), dtype))
         return out
 
