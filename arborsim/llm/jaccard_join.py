@@ -7,7 +7,7 @@ at once, so candidates must share prefix tokens under each of them.
 
 1. Sets: one pass gives each row its set's size and hash. Equal sets are one node from here on. The pass also
    counts, in each batch, tokens found in a large share of the rows; such hot tokens are few by construction.
-2. Frequencies: a second pass sends every (token, node) to the token's bucket, packed at about 6 bytes. Buckets
+2. Frequencies: a second pass sends every (token, node) to the token's bucket, packed at about 5 bytes. Buckets
    find which tokens lie in two nodes or more and how often; hot tokens skip the count and are dealt at random.
    Only shared tokens go on, to their nodes. Orders put rare tokens first, so a node whose prefix holds only
    tokens of its own has no partner and ends here. What survives is a small part of the corpus.
@@ -75,31 +75,41 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, doc_id long, node long, n long")
 
 
-def _pack(token: np.ndarray, index: np.ndarray) -> bytes:
+def _planes(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes, all first bytes of an array first, compressed."""
     import zstandard
 
-    delta = np.diff(token, prepend=token[:1])
-    wide = 4 if not len(delta) or int(delta.max()) < 1 << 32 else 8
-    planes = delta.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
-    body = np.ascontiguousarray(planes).tobytes() + np.ascontiguousarray(index.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
-    return bytes([wide]) + int(token[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays))
 
 
-def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _from_planes(data: bytes, *kinds: tuple[int, str]) -> list[np.ndarray]:
     import zstandard
 
-    wide, first = data[0], U64(int.from_bytes(data[1:9], "little"))
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:]), np.uint8)
-    delta = np.ascontiguousarray(body[: n * wide].reshape(wide, n).T).view(f"<u{wide}").ravel()
-    index = np.ascontiguousarray(body[n * wide :].reshape(2, n).T).view("<u2").ravel()
-    return np.cumsum(delta.astype(U64)) + first, index
+    body, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for n, kind in kinds:
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(body[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
+        at += n * wide
+    return out
+
+
+def _labels(spark: SparkSession, n: int) -> np.ndarray:
+    """An int for each of n partitions that Spark's hash partitioning sends there."""
+    ids = spark.range(40 * n).select(F.col("id").cast("int").alias("i"))
+    found = ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i")).collect()
+    out = np.arange(n, dtype=np.int32)
+    for k, i in found:
+        out[k] = i
+    return out
 
 
-PACKED = "bucket int, count int, nodes binary, sizes binary, packed binary"
+#: count postings of so many nodes: their hashes and sizes, then each posting's token (as steps from first) and node.
+PACKED = "label int, hot boolean, nodes int, count int, first long, wide int, body binary"
 
 
-def _postings(docs: DataFrame, size: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Packed (token, node) of every row's set, by bucket; those of hot tokens in buckets below 0, dealt by batch."""
+def _postings(docs: DataFrame, size: int, labels: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """Packed (token, node) of every row's set, by the token's bucket; those of hot tokens are dealt by batch."""
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -116,66 +126,81 @@ def _postings(docs: DataFrame, size: int, buckets: int, hot: np.ndarray) -> Data
                 doc, token = doc[keep], token[keep]
                 if not len(doc):
                     continue
-                is_hot = np.isin(token, hot) if len(hot) else np.zeros(len(token), bool)
-                home = (token * U64(buckets) >> U64(48)).astype(np.int64) if buckets < 1 << 16 else ((token >> U64(16)) * U64(buckets) >> U64(32)).astype(np.int64)
-                home[is_hot] = -1 - int(abs(int(node[0])) % buckets)
+                home = ((token >> U64(16)) * U64(buckets) >> U64(32)).astype(np.int32)
+                if len(hot):
+                    home[np.isin(token, hot)] = -1
                 order = np.lexsort((token, home))
                 home, token, doc = home[order], token[order], doc[order]
-                cut = np.flatnonzero(np.diff(home, prepend=home[0] - 1))
+                cut = np.append(np.flatnonzero(np.diff(home, prepend=home[0] - 1)), len(home))
                 rows = []
-                for a, b in zip(cut, np.append(cut[1:], len(home))):
+                for a, b in zip(cut[:-1], cut[1:]):
                     own, index = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((int(home[a]), int(b - a), node[own].astype("<i8").tobytes(), n[own].astype("<i4").tobytes(), _pack(token[a:b], index)))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "count", "nodes", "sizes", "packed"])
+                    step = np.diff(token[a:b], prepend=token[a : a + 1])
+                    wide = 4 if int(step.max()) < 1 << 32 else 8
+                    body = _planes(node[own].astype("<i8"), n[own].astype("<i4"), step.astype(f"<u{wide}"), index.astype("<u2"))
+                    at = int(home[a]) if home[a] >= 0 else int(node[own[0]]) % buckets
+                    rows.append((int(labels[at]), bool(home[a] < 0), len(own), int(b - a), int(token[a]), wide, body))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=[x.split()[0] for x in PACKED.split(", ")])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, PACKED)
 
 
-def _emit(node: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """(node, n, keys) rows of postings."""
-    order = np.argsort(node, kind="stable")
-    node, size, key = node[order], size[order], key[order]
-    cut = np.flatnonzero(np.diff(node, prepend=node[0] - 1 if len(node) else 0)) if len(node) else np.zeros(0, np.int64)
-    offsets = np.append(cut, len(node)).astype(np.int32) * 8
-    keys = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(key.astype("<u8").tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(node[cut]), pa.array(size[cut].astype(np.int64)), keys], names=["node", "n", "keys"])
+#: count postings of so many nodes: their hashes, sizes and numbers of postings, then the postings' keys.
+BY_NODE = "label int, nodes int, count int, body binary"
+
+
+def _emit(labels: np.ndarray, node: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """Postings packed for the partition of their node."""
+    home = (node % len(labels)).astype(np.int32)
+    order = np.lexsort((key, node, home))
+    home, node, size, key = home[order], node[order], size[order], key[order]
+    cut = np.append(np.flatnonzero(np.diff(home, prepend=home[0] - 1)), len(home))
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        first = np.flatnonzero(np.diff(node[a:b], prepend=node[a] - 1)) + a
+        count = np.diff(np.append(first, b))
+        rows.append((int(labels[home[a]]), len(first), int(b - a), _planes(node[first].astype("<i8"), size[first].astype("<i4"), count.astype("<i4"), key[a:b].astype("<u8"))))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["label", "nodes", "count", "body"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(labels: np.ndarray):
     """The postings of tokens that two nodes or more hold, with the level of their frequency."""
-    tokens, nodes, sizes = [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            t, index = _unpack(row["packed"], row["count"])
-            own, n = np.frombuffer(row["nodes"], "<i8")[index], np.frombuffer(row["sizes"], "<i4")[index]
-            if row["bucket"] < 0:
-                yield _emit(own, n, U64(HOT_LEVEL) << U64(48) | t)
-                continue
-            tokens.append(t)
-            nodes.append(own)
-            sizes.append(n)
-    if not tokens:
-        return
-    token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-    del tokens, nodes, sizes
-    for step in range(2):  # the first keeps tokens seen twice, the second counts different nodes
-        order = np.lexsort((node, token)) if step else np.argsort(token, kind="stable")
-        token, node, size = token[order], node[order], size[order]
-        if step and len(token):
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, size = token[new], node[new], size[new]
-        if not len(token):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, nodes, sizes = [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, n, step, index = _from_planes(row["body"], (row["nodes"], "<i8"), (row["nodes"], "<i4"), (row["count"], f"<u{row['wide']}"), (row["count"], "<u2"))
+                token = np.cumsum(step.astype(U64)) + U64(row["first"])
+                if row["hot"]:
+                    yield _emit(labels, own[index], n[index], U64(HOT_LEVEL) << U64(48) | token)
+                    continue
+                tokens.append(token)
+                nodes.append(own[index])
+                sizes.append(n[index])
+        if not tokens:
             return
-        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        run = np.diff(np.append(cut, len(token)))
-        count = np.repeat(run, run)
-        keep = count > 1
-        token, node, size, count = token[keep], node[keep], size[keep], count[keep]
-    if len(token):
-        level = np.minimum(np.ceil(np.log2(count)), HOT_LEVEL - 1).astype(U64)
-        yield _emit(node, size, level << U64(48) | token)
+        token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        del tokens, nodes, sizes
+        for step in range(2):  # the first keeps tokens seen twice, the second counts different nodes
+            order = np.lexsort((node, token)) if step else np.argsort(token, kind="stable")
+            token, node, size = token[order], node[order], size[order]
+            if step and len(token):
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+                token, node, size = token[new], node[new], size[new]
+            if not len(token):
+                return
+            cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            run = np.diff(np.append(cut, len(token)))
+            count = np.repeat(run, run)
+            keep = count > 1
+            token, node, size, count = token[keep], node[keep], size[keep], count[keep]
+        if len(token):
+            level = np.minimum(np.ceil(np.log2(count)), HOT_LEVEL - 1).astype(U64)
+            yield _emit(labels, node, size, level << U64(48) | token)
+
+    return run
 
 
 def _survivors(percent: int):
@@ -184,10 +209,11 @@ def _survivors(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, n, keys = [], [], []
         for batch in batches:
-            count = np.array([len(k) // 8 for k in batch.column(2).to_pylist()], np.int64)
-            node.append(np.repeat(batch.column(0).to_numpy(), count))
-            n.append(np.repeat(batch.column(1).to_numpy(), count))
-            keys.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8"))
+            for row in batch.to_pylist():
+                own, size, count, key = _from_planes(row["body"], (row["nodes"], "<i8"), (row["nodes"], "<i4"), (row["nodes"], "<i4"), (row["count"], "<u8"))
+                node.append(np.repeat(own, count))
+                n.append(np.repeat(size, count))
+                keys.append(key)
         if not node:
             return
         node, n, keys = np.concatenate(node), np.concatenate(n), np.concatenate(keys)
@@ -231,17 +257,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _near(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _near(n: str, own: str, m: str, other: str, percent: int):
+    """What sizes allow: near sizes, and enough tokens in common even if all shared tokens of either are."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(F.col(n) - F.col(own), F.col(m) - F.col(other)) >= percent * (F.col(n) + F.col(m)))
 
 
 def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int) -> DataFrame:
     """(a, b): each node with the leader of each group it shares a prefix token with, if components differ."""
     posts = nodes.join(comp, "node").select("node", "n", "own", "root", F.explode(f"p{order}").alias("tok"))
     lead = posts.groupBy("tok").agg(
-        F.min(F.struct((F.col("own") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-    ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"))
-    both = posts.join(lead, "tok").where((F.col("root") != F.col("lr")) & _near("n", "ls", percent))
+        F.min(F.struct((F.col("own") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root", "own")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+    ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"), F.col("l.own").alias("lo"))
+    both = posts.join(lead, "tok").where((F.col("root") != F.col("lr")) & _near("n", "own", "ls", "lo", percent))
     return both.select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
 
 
@@ -249,11 +276,11 @@ def _crossing(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share a prefix token under every order."""
     out = None
     for o in range(ORDERS):
-        posts = nodes.join(comp, "node").select("node", "n", "root", F.explode(f"p{o}").alias("tok"))
+        posts = nodes.join(comp, "node").select("node", "n", "own", "root", F.explode(f"p{o}").alias("tok"))
         mixed = posts.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
         posts = posts.join(mixed, "tok", "left_semi")
-        l, r = posts.select("tok", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "root"))), posts.select("tok", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "root")))
-        pairs = l.join(r, "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _near("a_n", "b_n", percent))
+        l, r = posts.select("tok", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "own", "root"))), posts.select("tok", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "own", "root")))
+        pairs = l.join(r, "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _near("a_n", "a_own", "b_n", "b_own", percent))
         pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
         out = pairs if out is None else out.join(pairs, ["a", "b"], "left_semi")
     return out
@@ -268,10 +295,10 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     hot = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * rows)).select("node").collect()
     hot = np.array(sorted(r[0] for r in hot), U64)
     tasks = max(common.shuffle_partitions(spark), -(-total // TASK_POSTINGS))
-    buckets = 4 * tasks
-    posts = _postings(docs, size, buckets, hot).repartition(tasks, "bucket").mapInArrow(_shared, "node long, n long, keys binary")
+    labels = _labels(spark, tasks)
+    posts = _postings(docs, size, labels, hot).repartition(tasks, "label").mapInArrow(_shared(labels), BY_NODE)
     schema = "node long, n long, own long, keys binary, " + ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
-    nodes = common.materialise(posts.repartition(tasks, "node").mapInArrow(_survivors(percent), schema), "jaccard-nodes")
+    nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(_survivors(percent), schema), "jaccard-nodes")
     comp = nodes.select("node", F.col("node").alias("root"))
     links = None
     for o in range(ORDERS + 1):

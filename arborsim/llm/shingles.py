@@ -93,7 +93,7 @@ def set_hash(doc: np.ndarray, token: np.ndarray, docs: int) -> tuple[np.ndarray,
         return n, (mix(sums + n.astype(U64) * _ODD) >> U64(1)).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> list[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> list[pa.RecordBatch]:
     """Parts of the batch with about so many bytes in a column, one row at least."""
     sizes = [x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)]
     out, at, held = [], 0, 0
