@@ -257,18 +257,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _near(n: str, own: str, m: str, other: str, percent: int):
-    """What sizes allow: near sizes, and enough tokens in common even if all shared tokens of either are."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(F.col(n) - F.col(own), F.col(m) - F.col(other)) >= percent * (F.col(n) + F.col(m)))
+def _may_link(n: str, at: str, m: str, there: str, percent: int):
+    """Whether sets of n and m tokens can link if the token at these places (from 0) is the first they share.
+
+    A linking pair passes this at its first shared token, so pairs are lost nowhere by asking it of every token.
+    """
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(F.col(n) - F.col(at), F.col(m) - F.col(there)) >= percent * (F.col(n) + F.col(m)))
+
+
+def _prefixes(nodes: DataFrame, comp: DataFrame, order: int) -> DataFrame:
+    """node, n, root, at, tok: every prefix token and its place in the set under that order."""
+    posts = nodes.join(comp, "node").select("node", "n", "own", "root", F.posexplode(f"p{order}").alias("i", "tok"))
+    return posts.select("node", "n", "root", (F.col("own") + F.col("i")).alias("at"), "tok")
 
 
 def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int) -> DataFrame:
-    """(a, b): each node with the leader of each group it shares a prefix token with, if components differ."""
-    posts = nodes.join(comp, "node").select("node", "n", "own", "root", F.explode(f"p{order}").alias("tok"))
+    """(a, b): each node with the leader of each group it shares a prefix token with, if components differ.
+
+    The leader has the fewest rarer tokens before the one they share: of near copies, the one edited least.
+    """
+    posts = _prefixes(nodes, comp, order)
     lead = posts.groupBy("tok").agg(
-        F.min(F.struct((F.col("own") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root", "own")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-    ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"), F.col("l.own").alias("lo"))
-    both = posts.join(lead, "tok").where((F.col("root") != F.col("lr")) & _near("n", "own", "ls", "lo", percent))
+        F.min(F.struct((F.col("at") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root", "at")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+    ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"), F.col("l.at").alias("la"))
+    both = posts.join(lead, "tok").where((F.col("root") != F.col("lr")) & _may_link("n", "at", "ls", "la", percent))
     return both.select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
 
 
@@ -276,11 +288,11 @@ def _crossing(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share a prefix token under every order."""
     out = None
     for o in range(ORDERS):
-        posts = nodes.join(comp, "node").select("node", "n", "own", "root", F.explode(f"p{o}").alias("tok"))
+        posts = _prefixes(nodes, comp, o)
         mixed = posts.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
         posts = posts.join(mixed, "tok", "left_semi")
-        l, r = posts.select("tok", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "own", "root"))), posts.select("tok", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "own", "root")))
-        pairs = l.join(r, "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _near("a_n", "a_own", "b_n", "b_own", percent))
+        side = lambda x: posts.select("tok", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")))  # noqa: E731, B023
+        pairs = side("a").join(side("b"), "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _may_link("a_n", "a_at", "b_n", "b_at", percent))
         pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
         out = pairs if out is None else out.join(pairs, ["a", "b"], "left_semi")
     return out
