@@ -81,15 +81,19 @@ def leaf_paths(messages: DataFrame, best: int | None = 1, most_rounds: int = 40)
     m = common.materialise(m, "reply-messages")
     up = lambda d, *c: d.select(F.col("tree").alias("t"), F.col("node").alias("x"), *c)
     meet = F.col("tree").eqNullSafe(F.col("t"))
-    # jump: the message 2^k above; total and length are sums over the messages from here up to, not with, it
+    # jump: the message 2^k above; total and length are sums over the messages from here up to, not with, it.
+    # A level holds the messages that had a jump at the level before; those without one now are done.
     jump = m.select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).alias("length"))
     jumps = [common.materialise(jump, "reply-jumps")]
-    while not jumps[-1].where("jump IS NOT NULL").isEmpty() and len(jumps) < most_rounds:
-        j = jumps[-1]
-        above = up(j, F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2"))
-        step = j.join(above, meet & (F.col("jump") == F.col("x")), "left")
-        jumps.append(common.materialise(step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length")), "reply-jumps"))
-    done = jumps[-1].where("jump IS NULL")
+    done = jumps[0].where("jump IS NULL")
+    while len(jumps) < most_rounds:
+        going = jumps[-1].where("jump IS NOT NULL")
+        if going.isEmpty():
+            break
+        above = up(going.unionByName(done), F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2"))
+        step = going.join(above, meet & (F.col("jump") == F.col("x")))
+        jumps.append(common.materialise(step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("length") + F.col("l2")).alias("length")), "reply-jumps"))
+        done = done.unionByName(jumps[-1].where("jump IS NULL"))
     inner = m.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("x")).distinct()
     leaves = done.join(inner, meet & (F.col("node") == F.col("x")), "left_anti").withColumn("score", F.col("total") / F.col("length"))
     if best is not None:
