@@ -1,7 +1,9 @@
 """Chat formatting of reply trees.
 
 Messages point at the message they answer. Iterated self-joins of ever longer jumps (1, 2, 4, ... messages up)
-give each leaf its score and the messages of its path, so a thread of a thousand turns takes ten joins. Branches of a tree are ranked by score and each chosen path is formatted as one conversation.
+give each leaf its score and the messages of its path, so a thread of a thousand turns takes ten joins, each of
+the messages still under way. Branches of a tree are ranked by score and each chosen path is formatted as one
+conversation.
 
 The template is ``<|im_start|>role newline text<|im_end|> newline`` for each turn. Control strings inside a text
 get a backslash after their first character (one more if there are some already), so reading back is exact.
@@ -82,18 +84,18 @@ def leaf_paths(messages: DataFrame, best: int | None = 1, most_rounds: int = 40)
     up = lambda d, *c: d.select(F.col("tree").alias("t"), F.col("node").alias("x"), *c)
     meet = F.col("tree").eqNullSafe(F.col("t"))
     # jump: the message 2^k above; total and length are sums over the messages from here up to, not with, it.
-    # A level holds the messages that had a jump at the level before; those without one now are done.
+    # Messages without a jump are done: they pass from level to level as they are, outside the join.
     jump = m.select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).alias("length"))
     jumps = [common.materialise(jump, "reply-jumps")]
-    done = jumps[0].where("jump IS NULL")
     while len(jumps) < most_rounds:
-        going = jumps[-1].where("jump IS NOT NULL")
+        level = jumps[-1]
+        going = level.where("jump IS NOT NULL")
         if going.isEmpty():
             break
-        above = up(going.unionByName(done), F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2"))
-        step = going.join(above, meet & (F.col("jump") == F.col("x")))
-        jumps.append(common.materialise(step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("length") + F.col("l2")).alias("length")), "reply-jumps"))
-        done = done.unionByName(jumps[-1].where("jump IS NULL"))
+        step = going.join(up(level, F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2")), meet & (F.col("jump") == F.col("x")))
+        step = step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("length") + F.col("l2")).alias("length"))
+        jumps.append(common.materialise(step.unionByName(level.where("jump IS NULL")), "reply-jumps"))
+    done = jumps[-1].where("jump IS NULL")
     inner = m.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("x")).distinct()
     leaves = done.join(inner, meet & (F.col("node") == F.col("x")), "left_anti").withColumn("score", F.col("total") / F.col("length"))
     if best is not None:
