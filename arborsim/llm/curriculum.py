@@ -113,11 +113,13 @@ def schedule(docs: DataFrame, partitions: int | None = None, **options) -> DataF
     """
     n = partitions or common.shuffle_partitions(docs.sparkSession)
     rows = common.materialise(weigh(docs), "mix-rows")
-    keys = ["_d", "_c", "_k"]
-    taken = mix(rows, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_c"), F.col("_shuffle").alias("_k"), F.explode("times").alias("_time"))
-    texts = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_d2"), F.col("source").cast("string").alias("_c2"), _key().alias("_k2")).dropDuplicates([k + "2" for k in keys])
-    both = taken.join(texts, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_c").eqNullSafe(F.col("_c2")))
-    return both.select("_time", "_k", *docs.columns).repartitionByRange(n, "_time", "_k").sortWithinPartitions("_time", "_k").select(*docs.columns)
+    time, *keys = common.unused(docs, "_time", "_d", "_c", "_k")
+    own = common.unused(docs, "_d2", "_c2", "_k2")
+    taken = mix(rows, **options).select(F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("_shuffle").alias(keys[2]), F.explode("times").alias(time))
+    texts = docs.select(*docs.columns, F.col("doc_id").cast("long").alias(own[0]), F.col("source").cast("string").alias(own[1]), _key().alias(own[2])).dropDuplicates(own)
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, own)]
+    both = taken.join(texts, same[0] & same[1] & same[2]).select(time, keys[2], *docs.columns)
+    return both.repartitionByRange(n, time, keys[2]).sortWithinPartitions(time, keys[2]).select(*docs.columns)
 
 
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:

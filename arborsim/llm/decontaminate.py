@@ -93,10 +93,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = 1) ->
     _, hits = find_hits(docs, benchmark, n)
     if least > 1:
         hits = scan(docs, benchmark, n).where(F.col("n_hit") >= least)
-    bad = hits.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    d, k = common.unused(docs, "_d", "_k")
+    bad = hits.select(F.col("doc_id").alias(d), F.col("_key").alias(k)).distinct()
     text = F.coalesce(docs["text"], F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[d]) & (key == bad[k]), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,19 +96,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Compres
     return CompressionClassifier().fit(common.labelled_sample(docs, labels, "quality", max_rows))
 
 
-def score(docs: DataFrame, model: CompressionClassifier, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id if None) of docs and ``score``; text is read beside them."""
+def score(docs: DataFrame, model: CompressionClassifier, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id if None) of docs and the score, as ``name``; text is read beside them."""
     keep = keep or ["doc_id"]
+    (body,) = common.unused(docs, "_text")
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(texts), pa.float64())], names=[*(f.name for f in fields), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(texts), pa.float64())], names=[*(f.name for f in fields), name])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias(body)).mapInArrow(run, schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

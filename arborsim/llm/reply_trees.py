@@ -71,7 +71,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def leaf_paths(messages: DataFrame, best: int | None = 1, most_rounds: int = 40) -> DataFrame:
+def leaf_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """tree, leaf, rank, node, depth_below: the messages on the ``best`` highest-scored paths of each tree (None: all).
 
     messages(tree, node, parent, score); ids are unique within their tree and all three are longs. A path's score
@@ -85,9 +85,9 @@ def leaf_paths(messages: DataFrame, best: int | None = 1, most_rounds: int = 40)
     meet = F.col("tree").eqNullSafe(F.col("t"))
     # jump: the message 2^k above; total and length are sums over the messages from here up to, not with, it.
     # Messages without a jump are done: they pass from level to level as they are, outside the join.
-    jump = m.select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).alias("length"))
-    jumps = [common.materialise(jump, "reply-jumps")]
-    while len(jumps) < most_rounds:
+    jump = m.select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+    jumps, most = [common.materialise(jump, "reply-jumps")], m.count().bit_length() + 1  # only cycles go on after so many
+    while len(jumps) < most:
         level = jumps[-1]
         going = level.where("jump IS NOT NULL")
         if going.isEmpty():
