@@ -16,13 +16,15 @@ from arborsim.llm import common, curriculum, decontaminate, jaccard_join, qualit
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 1/2; the fit reads the labels of the documents that are here."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where("score >= 0.5").select(*docs.columns)
+    (name,) = common.unused(docs, "quality_score")
+    return quality.score(docs, model, docs.columns, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component; rows of one doc_id stay or go together."""
-    named = jaccard_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    (kept,) = common.unused(docs, "_kept")
+    named = jaccard_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named[kept]), "left_semi")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
