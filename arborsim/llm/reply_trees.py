@@ -164,4 +164,4 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     messages = common.materialise(threads(rows.unionByName(extra)), "reply-threads")
-    return read_back(format_paths(leaf_paths(messages), messages))
+    return read_back(common.materialise(format_paths(leaf_paths(messages), messages), "reply-formatted"))
