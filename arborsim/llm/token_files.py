@@ -31,7 +31,7 @@ MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBIQ")
 IMAGES = "part int, block int, part_start long, n_ids long, doc_ids array<bigint>, image binary"
 #: Chunks whose ids a worker remembers; beyond that it forgets them all and starts anew.
-MEMO = 800_000
+MEMO = 1_200_000
 
 
 #: A chunk of letters and closing marks: the byte-level pattern cuts it into just these two.
