@@ -43,7 +43,7 @@ ORDERS = 3
 HOT = 1 / 128
 HOT_LEVEL = 60
 #: Postings that a bucket task holds, about.
-TASK_POSTINGS = 3_000_000
+TASK_POSTINGS = 1_500_000
 
 
 def _order(keys: np.ndarray, k: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(each[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, doc_id long, node long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(common.trimmed(run), "kind int, doc_id long, node long, n long")
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -142,7 +142,7 @@ def _postings(docs: DataFrame, size: int, labels: np.ndarray, hot: np.ndarray) -
                     rows.append((int(labels[at]), bool(home[a] < 0), len(own), int(b - a), int(token[a]), wide, body))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=[x.split()[0] for x in PACKED.split(", ")])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, PACKED)
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(common.trimmed(run), PACKED)
 
 
 #: count postings of so many nodes: their hashes, sizes and numbers of postings, then the postings' keys.
@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (int(na[i]) + int(nb[i]) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def _may_link(n: str, at: str, m: str, there: str, percent: int):
@@ -308,9 +308,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     hot = np.array(sorted(r[0] for r in hot), U64)
     tasks = max(common.shuffle_partitions(spark), -(-total // TASK_POSTINGS))
     labels = _labels(spark, tasks)
-    posts = _postings(docs, size, labels, hot).repartition(tasks, "label").mapInArrow(_shared(labels), BY_NODE)
+    posts = _postings(docs, size, labels, hot).repartition(tasks, "label").mapInArrow(common.trimmed(_shared(labels)), BY_NODE)
     schema = "node long, n long, own long, keys binary, " + ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
-    nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(_survivors(percent), schema), "jaccard-nodes")
+    nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(common.trimmed(_survivors(percent)), schema), "jaccard-nodes")
     comp = nodes.select("node", F.col("node").alias("root"))
     links = None
     for o in range(ORDERS + 1):

@@ -109,7 +109,7 @@ def score(docs: DataFrame, model: CompressionClassifier, keep: list[str] | None
             texts = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(texts), pa.float64())], names=[*(f.name for f in fields), name])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias(body)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias(body)).mapInArrow(common.trimmed(run), schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
