@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborsim.llm import common
-from arborsim.llm.sharding import BUCKET_ROWS
+from arborsim.llm.sharding import bucket, shuffled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rates at equally spaced times from 0 to 1, by weight class: late, steady, early.
@@ -62,7 +62,7 @@ def when(share: Column, rates: Sequence[float]) -> Column:
     return F.least(out.otherwise(1.0), F.lit(1.0))
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = 1.5, most: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = 1.5, most: int = 2, bucket_rows: int | None = None) -> DataFrame:
     """rows(source, size, _shuffle, ...) with source_size, target, copies, taken and times (of each copy).
 
     rows is read several times: give a narrow, materialised table. The list of sources and their sizes is
@@ -70,12 +70,11 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
     """
     spark = rows.sparkSession
     sums = [(r[0], r[1] or 0, r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()]
-    buckets = max(1, -(-sum(n for *_, n in sums) // bucket_rows))
-    plan = [(*t, ) for t in targets([(s, n) for s, n, _ in sums], weights, share, most)]
+    plan = [(*t,) for t in targets([(s, n) for s, n, _ in sums], weights, share, most)]
     table = spark.createDataFrame(plan, "_s string, source_size long, target double, _class int")
-    rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned(F.col("_shuffle"), 20), F.lit(buckets)))
+    rows = rows.withColumn("_b", bucket("_shuffle", sum(n for *_, n in sums), bucket_rows)[0])
     ties = [F.col(c) for c in rows.columns if c not in ("_b", "_shuffle")]
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "_b").orderBy("_shuffle", *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "_b").orderBy(*shuffled("_shuffle"), *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = rows.groupBy("source", "_b").agg(F.sum("size").alias("_w"))
     before = F.coalesce(F.sum("_w").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = whole.select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), before.alias("_before"))

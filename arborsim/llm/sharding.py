@@ -17,8 +17,21 @@ from pyspark.sql import functions as F
 
 from arborsim.llm import common
 
-#: Rows of a bucket, about. Buckets grow in number with the table, not in size.
+#: Rows of a bucket, at most about. Buckets grow in number with the table, not in size, and even a small table has
+#: enough of them to occupy a cluster; the result doesn't depend on how many there are.
 BUCKET_ROWS = 20_000
+LEAST_BUCKETS = 1024
+
+
+def shuffled(shuffle: str) -> tuple[Column, Column]:
+    """The order of rows by a uniform long: its upper 31 bits, unsigned, then all of it."""
+    return F.shiftrightunsigned(F.col(shuffle), 33), F.col(shuffle)
+
+
+def bucket(shuffle: str, total: int, rows: int | None = None) -> tuple[Column, int]:
+    """A row's bucket, which rises with that order, and the number of buckets for so many rows."""
+    n = LEAST_BUCKETS + total // (rows or BUCKET_ROWS)
+    return F.shiftright(shuffled(shuffle)[0] * F.lit(n), 31), n
 
 
 def _numbered(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -43,14 +56,14 @@ def interleave(rows: DataFrame, source: str, shuffle: str, shards: int) -> DataF
     rows is read several times: give a narrow, materialised table.
     """
     total = rows.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    ties = [F.col(c) for c in rows.columns]
-    ranked = _numbered(rows, [source], F.pmod(F.shiftrightunsigned(F.col(shuffle), 20), F.lit(buckets)), [F.col(shuffle), *ties], "_rank")
+    at, buckets = bucket(shuffle, total)
+    order = [*shuffled(shuffle), *(F.col(c) for c in rows.columns)]
+    ranked = _numbered(rows, [source], at, order, "_rank")
     sizes = rows.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.join(sizes, F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
     ranked = ranked.withColumn("_at", (F.col("_rank") - 0.5) / F.col("_n")).drop("_rank", "_n")
     place = F.floor(F.col("_at") * buckets).cast("long")
-    placed = _numbered(ranked, [], place, [F.col("_at"), F.col(shuffle), *ties], "_pos")
+    placed = _numbered(ranked, [], place, [F.col("_at"), *order], "_pos")
     pos = F.col("_pos") - 1
     # shard k holds the positions from ceil(k * total / shards) on
     shard = F.expr(f"((_pos - 1) * {shards}) div {max(total, 1)}")
