@@ -44,6 +44,9 @@ HOT = 1 / 128
 HOT_LEVEL = 60
 #: Postings that a bucket task holds, about.
 TASK_POSTINGS = 3_000_000
+#: A prefix token with more than 1 / HOT_GROUPS of an order's prefix postings meets its leader in several tasks;
+#: there are fewer than HOT_GROUPS such tokens in an order.
+HOT_GROUPS = 256
 
 
 def _order(keys: np.ndarray, k: int) -> np.ndarray:
@@ -271,16 +274,32 @@ def _prefixes(nodes: DataFrame, comp: DataFrame, order: int) -> DataFrame:
     return posts.select("node", "n", "root", (F.col("own") + F.col("i")).alias("at"), "tok")
 
 
-def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int) -> DataFrame:
+def _hot_groups(nodes: DataFrame) -> list[list[tuple[int, int]]]:
+    """For each order, its hot prefix tokens and the number of tasks that each is dealt to."""
+    total = nodes.agg(F.coalesce(F.sum(F.size("p0")), F.lit(0))).first()[0]  # the same under every order
+    posts = nodes.select(F.posexplode(F.array(*(f"p{o}" for o in range(ORDERS)))).alias("o", "p")).select("o", F.explode("p").alias("tok"))
+    out = [[] for _ in range(ORDERS)]
+    for o, tok, n in posts.groupBy("o", "tok").count().where(F.col("count") * HOT_GROUPS > total).collect():
+        out[o].append((tok, -(-n * HOT_GROUPS // total)))
+    return out
+
+
+def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
     """(a, b): each node with the leader of each group it shares a prefix token with, if components differ.
 
     The leader has the fewest rarer tokens before the one they share: of near copies, the one edited least.
+    Nodes of a hot token are dealt to its tasks by their hash, and its leader is sent to each of them.
     """
     posts = _prefixes(nodes, comp, order)
     lead = posts.groupBy("tok").agg(
         F.min(F.struct((F.col("at") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root", "at")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
     ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"), F.col("l.at").alias("la"))
-    both = posts.join(lead, "tok").where((F.col("root") != F.col("lr")) & _may_link("n", "at", "ls", "la", percent))
+    if hot:
+        parts = F.broadcast(nodes.sparkSession.createDataFrame(hot, "tok long, parts long"))
+        each = F.coalesce("parts", F.lit(1))
+        posts = posts.join(parts, "tok", "left").withColumn("part", F.pmod(F.xxhash64("node"), each))
+        lead = lead.join(parts, "tok", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)))
+    both = posts.join(lead, ["tok", "part"] if hot else "tok").where((F.col("root") != F.col("lr")) & _may_link("n", "at", "ls", "la", percent))
     return both.select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
 
 
@@ -312,9 +331,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     schema = "node long, n long, own long, keys binary, " + ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
     nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(common.trimmed(_survivors(percent)), schema), "jaccard-nodes")
     comp = nodes.select("node", F.col("node").alias("root"))
-    links = None
+    links, hot_groups = None, _hot_groups(nodes)
     for o in range(ORDERS + 1):
-        pairs = _stars(nodes, comp, o, percent) if o < ORDERS else _crossing(nodes, comp, percent)
+        pairs = _stars(nodes, comp, o, percent, hot_groups[o]) if o < ORDERS else _crossing(nodes, comp, percent)
         new = common.materialise(_verified(pairs, nodes, percent), "jaccard-links")
         if new.isEmpty():
             continue

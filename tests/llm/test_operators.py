@@ -178,6 +178,11 @@ def test_jaccard(spark, docs, odd, none):
         assert counted(tuple(r) for r in jaccard_join.join(df).collect()) == counted(brute_groups(texts(df)))
 
 
+def test_jaccard_deals_hot_tokens(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_GROUPS", 5000)  # so that many tokens are dealt to several tasks
+    assert counted(tuple(r) for r in jaccard_join.join(docs).collect()) == counted(brute_groups(texts(docs)))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 450), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -307,7 +312,8 @@ def brute_shards(rows, shards):
 
 
 def test_shards(spark, docs, odd, none, monkeypatch):
-    for rows in (20_000, 7):
+    for least, rows in ((1024, 20_000), (1, 20_000), (1, 7)):
+        monkeypatch.setattr(sharding, "LEAST_BUCKETS", least)
         monkeypatch.setattr(sharding, "BUCKET_ROWS", rows)
         for df in (docs, odd, none):
             got = sharding.shard_documents(df, 8).toPandas()
@@ -323,9 +329,10 @@ def test_shards(spark, docs, odd, none, monkeypatch):
 
 def test_shards_do_not_depend_on_buckets(docs, monkeypatch):
     one = counted(tuple(r) for r in sharding.shard_documents(docs).collect())
-    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
-    two = counted(tuple(r)[:4] for r in sharding.shard_documents(docs).collect())
-    assert len(one) == len(two)
+    for least, rows in ((1, 20_000), (1, 20), (3, 7)):
+        monkeypatch.setattr(sharding, "LEAST_BUCKETS", least)
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", rows)
+        assert counted(tuple(r) for r in sharding.shard_documents(docs).collect()) == one
 
 
 # 8
@@ -349,10 +356,22 @@ def test_when_inverts_the_integral(spark):
         assert np.allclose(got, np.interp(np.linspace(0, 1, 2001), area / area[-1], grid), atol=1e-3)
 
 
-@pytest.mark.parametrize("rows", [20_000, 5])
-def test_mix(docs, odd, none, rows):
+def test_mix_does_not_depend_on_buckets(docs, monkeypatch):
+    from arborsim.llm import common
+
+    rows = common.materialise(curriculum.weigh(docs), "t")
+    one = counted(tuple(map(str, r)) for r in curriculum.mix(rows).collect())
+    for least, size in ((1, 20_000), (1, 20), (3, 7)):
+        monkeypatch.setattr(sharding, "LEAST_BUCKETS", least)
+        assert counted(tuple(map(str, r)) for r in curriculum.mix(rows, bucket_rows=size).collect()) == one
+
+
+@pytest.mark.parametrize("rows", [None, 20_000, 5])
+def test_mix(docs, odd, none, rows, monkeypatch):
     from arborsim.llm import common
 
+    if rows:
+        monkeypatch.setattr(sharding, "LEAST_BUCKETS", 1)
     for df in (docs, odd, none):
         got = curriculum.mix(common.materialise(curriculum.weigh(df), "t"), bucket_rows=rows).toPandas()
         assert len(got) == df.count()
