@@ -284,6 +284,16 @@ def _hot_groups(nodes: DataFrame) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _dealt(df: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """df with parts, the number of tasks that its token is dealt to."""
+    parts = F.broadcast(df.sparkSession.createDataFrame(hot, "tok long, parts long"))
+    return df.join(parts, "tok", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+
+
+def _all_parts():
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+
+
 def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
     """(a, b): each node with the leader of each group it shares a prefix token with, if components differ.
 
@@ -295,24 +305,33 @@ def _stars(nodes: DataFrame, comp: DataFrame, order: int, percent: int, hot: lis
         F.min(F.struct((F.col("at") / F.col("n")).alias("s"), F.xxhash64("node", F.lit(order)).alias("h"), "node", "n", "root", "at")).alias("l"), F.min("root").alias("r0"), F.max("root").alias("r1"),
     ).where("r0 <> r1").select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("ls"), F.col("l.root").alias("lr"), F.col("l.at").alias("la"))
     if hot:
-        parts = F.broadcast(nodes.sparkSession.createDataFrame(hot, "tok long, parts long"))
-        each = F.coalesce("parts", F.lit(1))
-        posts = posts.join(parts, "tok", "left").withColumn("part", F.pmod(F.xxhash64("node"), each))
-        lead = lead.join(parts, "tok", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)))
+        posts = _dealt(posts, hot).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+        lead = _dealt(lead, hot).withColumn("part", _all_parts()).drop("parts")
     both = posts.join(lead, ["tok", "part"] if hot else "tok").where((F.col("root") != F.col("lr")) & _may_link("n", "at", "ls", "la", percent))
     return both.select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
 
 
-def _crossing(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a prefix token under every order."""
+def _crossing(nodes: DataFrame, comp: DataFrame, percent: int, hot: list[list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) of different components that share a prefix token under every order.
+
+    Of two such nodes one at least lies outside the token's first component, so only those outside meet all: what
+    a large component holds isn't compared within itself. Hot tokens are dealt as in stars, those outside to all.
+    """
     out = None
     for o in range(ORDERS):
-        posts = _prefixes(nodes, comp, o)
-        mixed = posts.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
-        posts = posts.join(mixed, "tok", "left_semi")
-        side = lambda x: posts.select("tok", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")))  # noqa: E731, B023
-        pairs = side("a").join(side("b"), "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _may_link("a_n", "a_at", "b_n", "b_at", percent))
-        pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        posts, on = _prefixes(nodes, comp, o), ["tok"]
+        mixed = posts.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok", "r0")
+        if hot[o]:
+            on = ["tok", "part"]
+            posts = _dealt(posts, hot[o]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+            mixed = _dealt(mixed, hot[o]).withColumn("part", _all_parts()).drop("parts")
+        posts = posts.join(mixed, on)
+        outside = posts.where("root <> r0")
+        if hot[o]:
+            outside = outside.withColumn("part", _all_parts())
+        side = lambda df, x: df.select(*on, *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "root")))  # noqa: E731, B023
+        pairs = side(outside, "a").join(side(posts, "b"), on).where((F.col("a_root") != F.col("b_root")) & _may_link("a_n", "a_at", "b_n", "b_at", percent))
+        pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         out = pairs if out is None else out.join(pairs, ["a", "b"], "left_semi")
     return out
 
@@ -333,7 +352,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     comp = nodes.select("node", F.col("node").alias("root"))
     links, hot_groups = None, _hot_groups(nodes)
     for o in range(ORDERS + 1):
-        pairs = _stars(nodes, comp, o, percent, hot_groups[o]) if o < ORDERS else _crossing(nodes, comp, percent)
+        pairs = _stars(nodes, comp, o, percent, hot_groups[o]) if o < ORDERS else _crossing(nodes, comp, percent, hot_groups)
         new = common.materialise(_verified(pairs, nodes, percent), "jaccard-links")
         if new.isEmpty():
             continue
