@@ -237,7 +237,7 @@ def stream_update(spark: SparkSession, d: str) -> DataFrame:
     from arborsim.streaming.update import stream_update as start
 
     at = _scratch(spark) + f"/stream-{uuid.uuid4().hex}"
-    _tree(spark, d).select("path", "blob_sha", "content").where("path < 'src11'").write.parquet(f"{at}/files")
+    _tree(spark, d).select("path", "blob_sha", "content").write.parquet(f"{at}/files")
     store = IndexStore(spark, f"{at}/index")
     files = spark.readStream.schema(schema.BLOBS).option("maxFilesPerTrigger", 4).parquet(f"{at}/files")
     start(files, store, embed.HashingEmbedder(), f"{at}/checkpoint").awaitTermination()

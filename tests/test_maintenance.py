@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborsim import schema
 from arborsim.functions import text
 from arborsim.operators import chunking, embed, maintain, pooling
+from arborsim.plans import queries
 from arborsim.plans.engine import Engine
 from arborsim.sources import codec, git_tree, hooks
 from arborsim.sources.index_store import IndexStore
@@ -148,6 +149,17 @@ def test_stream(spark, tmp_path):
         assert store.load()[1].count() == k + 2
 
 
+def test_stream_query_takes_in_the_whole_table(spark, sf):
+    import hashlib
+
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        data = (r.text or "").encode()
+        if r.doc_id % 4 != 2 and 1 <= len(data) <= 102_400:  # the others are .png
+            want.add(hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest())
+    assert sorted(r.blob_sha for r in queries.stream_update(spark, sf).collect()) == sorted(want)
+
+
 # git
 
 
