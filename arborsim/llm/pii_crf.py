@@ -4,11 +4,14 @@ Base rules (see ``base_spans``) find emails, addresses, cards and phones. The si
 spans and the looser candidates around them: runs of digits with separators that no rule accepts, and written-out
 emails. Each site has a label, none or one of the kinds. Neighbouring sites share a chain potential, and sites
 that repeat or resemble each other anywhere in the document (equal digits, equal last digits, equal mailbox)
-share a skip potential; loopy sum-product messages make their labels agree. Base sites keep their labels; a
+share a hub variable, to which each has a skip potential: any two are two hops apart, in work linear in them. A
+hub with base sites takes one of their kinds, by their shares, so a candidate hears of them wherever it stands.
+Loopy sum-product messages run until they settle and make labels agree. Base sites keep their labels; a
 candidate whose marginal for a kind reaches ``THRESHOLD`` is added as a span of that kind.
 
 Weights are trained by pseudo-likelihood on the sites of at most about ``max_docs`` documents, taken by hash of
-their id, with the base rules as teacher; candidates that resemble a base site aren't used as negatives.
+their id, with the base rules as teacher; candidates that resemble a base site aren't used as negatives. There
+a site's hub has the share of the labels of the hub's other sites.
 
 Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their length; a
 document's field is as large as its candidates. Repeated rows and clashing column names don't matter.
@@ -29,9 +32,7 @@ from pyspark.sql import functions as F
 from arborsim.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_DOCS, THRESHOLD, ROUNDS = 3000, 0.9, 20
-#: A skip link joins a site to so many earlier sites of its key; the chain of links still spans all of them.
-SKIP_BACK = 2
+MAX_DOCS, THRESHOLD, SETTLED = 3000, 0.9, 1e-4
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -104,7 +105,10 @@ def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 
 def keys(piece: str) -> list[str]:
-    """What makes two sites alike: equal digits, equal last nine digits, equal mailbox and host."""
+    """What makes two sites alike: equal digits, equal last nine digits, equal mailbox and host.
+
+    Sites that have any key in common have the last in common.
+    """
     low = re.sub(r" ?[\[(]at[\])] ?| at ", "@", piece.lower())
     if "@" in low:
         return ["m:" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", low)]
@@ -128,14 +132,16 @@ def observe(text: str, a: int, b: int) -> np.ndarray:
 
 
 def links(text: str, at: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip): pairs of site numbers; a pair is in one of them only."""
-    skip, by = set(), defaultdict(list)
+    """(chain, skip): pairs of neighbouring sites that aren't alike; (site, hub) of each site that has others alike."""
+    by = defaultdict(list)
     for i, (a, b, _) in enumerate(at):
-        for k in keys(text[a:b]):
-            skip.update((j, i) for j in by[k][-SKIP_BACK:])
+        for k in keys(text[a:b])[-1:]:
             by[k].append(i)
-    chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 40 and (i, i + 1) not in skip]
-    return chain, sorted(skip)
+    hubs = [own for own in by.values() if len(own) > 1]
+    skip = sorted((i, h) for h, own in enumerate(hubs) for i in own)
+    hub = dict(skip)
+    chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 40 and (i not in hub or hub[i] != hub.get(i + 1))]
+    return chain, skip
 
 
 class SkipChainCRF:
@@ -149,13 +155,20 @@ class SkipChainCRF:
         """Pseudo-likelihood: each labelled site given its features and its neighbours' labels (-1: unlabelled)."""
         k, x, y, chain, skip = len(KINDS) + 1, [], [], [], []
         for feats, labels, pairs, alike in docs:
-            around = np.zeros((2, len(labels), k))
-            for kind, edges in enumerate((pairs, alike)):
-                for i, j in edges:
-                    if labels[j] >= 0:
-                        around[kind, i, labels[j]] += 1
-                    if labels[i] >= 0:
-                        around[kind, j, labels[i]] += 1
+            around, hubs = np.zeros((2, len(labels), k)), np.zeros((len(labels), k))  # there are fewer hubs than sites
+            for i, j in pairs:
+                if labels[j] >= 0:
+                    around[0, i, labels[j]] += 1
+                if labels[i] >= 0:
+                    around[0, j, labels[i]] += 1
+            for i, h in alike:
+                if labels[i] >= 0:
+                    hubs[h, labels[i]] += 1
+            for i, h in alike:
+                around[1, i] = hubs[h]
+                if labels[i] >= 0:
+                    around[1, i, labels[i]] -= 1
+                around[1, i] /= max(around[1, i].sum(), 1)
             for i, label in enumerate(labels):
                 if label >= 0:
                     x.append(feats[i])
@@ -176,21 +189,29 @@ class SkipChainCRF:
         return self
 
     def marginals(self, feats: np.ndarray, known: list[int], chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
-        """Loopy sum-product in the log domain, damped; known labels (>= 0) are clamped."""
-        local = feats @ self.unary.T
+        """Loopy sum-product in the log domain, damped; known labels (>= 0) are clamped. One row for each site."""
+        n = len(feats)
+        local = np.concatenate([feats @ self.unary.T, np.zeros((1 + max((h for _, h in skip), default=-1), len(self.unary)))])
         for i, label in enumerate(known):
             if label >= 0:
                 local[i] = -50.0
                 local[i, label] = 0.0
-        edges = [(i, j, self.chain) for i, j in chain] + [(i, j, self.skip) for i, j in skip]
+        told_by = np.zeros_like(local)
+        for i, h in skip:
+            if known[i] >= 0:
+                told_by[n + h, known[i]] += 1
+        sure = told_by.any(1)
+        local[sure] = np.where(told_by[sure] > 0, np.log(np.maximum(told_by[sure], 1) / told_by[sure].sum(1, keepdims=True)), -1e9)  # however many candidates lean elsewhere
+        edges = [(i, j, self.chain) for i, j in chain] + [(i, n + h, self.skip) for i, h in skip if known[i] < 0]
         if not edges:
-            return _soft(local)
+            return _soft(local[:n])
         src = np.array([e[0] for e in edges] + [e[1] for e in edges])
         dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
         back = np.r_[len(edges) : 2 * len(edges), : len(edges)]
         pot = np.array([e[2] for e in edges] * 2)
         message = np.zeros((len(src), local.shape[1]))
-        for _ in range(ROUNDS):
+        # news crosses an edge in a round, so it gets everywhere; the bound ends only a field that never settles
+        for _ in range(100 + 2 * len(local)):
             belief = local.copy()
             np.add.at(belief, dst, message)
             out = belief[src] - message[back]
@@ -200,11 +221,11 @@ class SkipChainCRF:
             new -= new.max(1, keepdims=True)
             moved = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
-            if moved < 1e-4:
+            if moved < SETTLED:
                 break
         belief = local.copy()
         np.add.at(belief, dst, message)
-        return _soft(belief)
+        return _soft(belief[:n])
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base, all): spans as (start, kind, end), sorted."""

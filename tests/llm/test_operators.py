@@ -138,6 +138,19 @@ def test_skip_links_carry_labels(docs):
     assert model.spans("order 1 408 555 7800 is not repeated")[1] == []
 
 
+def test_skip_links_reach_everywhere(docs):
+    apart = " and so it went on for a long while without a number, "
+    loose = apart + "1 408 555 7800"
+    bare = pii_crf.SkipChainCRF()  # candidates lean to no label, so all they know comes from the base site
+    bare.skip = np.eye(len(bare.skip)) * 5
+    bare.unary[0, 0] = 1
+    for model in (bare, pii_crf.fit(docs)):
+        for n in (1, 2, 40, 500):
+            for text in ("+1 (408) 555-7800" + loose * n, loose * n + apart + "+1 (408) 555-7800"):
+                base, every = model.spans(text)
+                assert len(base) == 1 and len(every) == n + 1 and {k for _, k, _ in every} == {3}
+
+
 # 3
 
 
