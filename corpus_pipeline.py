@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from arborsim.llm import common, curriculum, decontaminate, jaccard_join, quality, sharding
 
+#: Near copies: word shingles of this size, alike by at least so many percent. op3's query has values of its own.
+SHINGLE, PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 1/2; the fit reads the labels of the documents that are here."""
@@ -23,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component; rows of one doc_id stay or go together."""
     (kept,) = common.unused(docs, "_kept")
-    named = jaccard_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = jaccard_join.join(docs, SHINGLE, PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
     return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named[kept]), "left_semi")
 
 

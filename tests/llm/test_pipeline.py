@@ -34,6 +34,16 @@ def test_stages(spark, sf):
     assert len(cut) == want.sum() and cut.groupby("shard").size().agg(lambda s: s.max() - s.min()) <= 1
 
 
+def test_distinct_links_at_five_words_and_80_percent(spark, sf):
+    near = []
+    for k, (n, every) in enumerate(((49, 49), (480, 48), (1000, 48), (49, 12), (480, 20))):  # the last two are too far apart
+        words = [f"w{k}x{i}" for i in range(n)]
+        near += [(10 * k, " ".join(words)), (10 * k + 1, " ".join("new" if i % every == every // 2 else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, sf).collect())
+    assert got == sorted({c for _, _, c in brute_groups(near, 5, 80)}) == [0, 10, 20, 30, 31, 40, 41]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() > 0
