@@ -58,24 +58,25 @@ def _order(keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, node, n of each row; kind 1: a token (in node) found in n rows of a batch."""
+    """kind 0: doc_id, node, n of each row, and key if docs has it; kind 1: a token (in node) found in n rows of a batch."""
+    key = ["key"] if "key" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "node", "n"]
+        names = ["kind", "doc_id", "node", "n", *key]
         for batch in batches:
             for some in slices(batch, 1):
                 doc, token = shingles(some.column(1), size)
                 n, node = set_hash(doc, token, some.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), some.column(0), pa.array(node), pa.array(n.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), some.column(0), pa.array(node), pa.array(n.astype(np.int64)), *some.columns[2:]], names=names)
                 _, first = np.unique(node, return_index=True)  # copies within the batch count once
                 one = np.zeros(len(n), bool)
                 one[first] = True
                 each, count = np.unique(token[one[doc]], return_counts=True)
                 often = count >= max(64, HOT * len(first))
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(each[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(each[often].astype(np.int64)), pa.array(count[often].astype(np.int64)), *[pa.nulls(m, pa.int64())] * len(key)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(common.trimmed(run), "kind int, doc_id long, node long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *key).mapInArrow(common.trimmed(run), "kind int, doc_id long, node long, n long" + (", key long" if key else ""))
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -336,11 +337,11 @@ def _crossing(nodes: DataFrame, comp: DataFrame, percent: int, hot: list[list[tu
     return out
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, root of each row of docs(doc_id, text), and key if docs has it; rows of one component share root."""
     spark = docs.sparkSession
     made = common.materialise(_sets(docs, size), "jaccard-sets")
-    sets = made.where("kind = 0").select("doc_id", "node", "n")
+    sets = made.where("kind = 0").drop("kind")
     total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * rows)).select("node").collect()
     hot = np.array(sorted(r[0] for r in hot), U64)
@@ -359,11 +360,29 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         comp = common.materialise(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-roots")
-    by = sets.join(comp.where("node <> root"), "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    return sets.join(comp.where("node <> root"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
+    by = _linked(docs.select("doc_id", "text"), size, percent)
     least = by.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = by.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def named(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, key (xxhash64 of text), copies: the row that names each component, and how many rows are like it.
+
+    It has the least doc_id, null last, and of its texts the one of the least key. Blank rows are components of
+    their own, each of them: they come with one copy however many there are.
+    """
+    by = _linked(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), size, percent)
+    each = by.where("n > 0").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key", "copies")).alias("f"))
+    blank = by.where("n = 0").select("doc_id", "key", F.lit(1).cast("long").alias("copies")).distinct()
+    return first.select("f.doc_id", "f.key", "f.copies").unionByName(blank)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))

@@ -24,10 +24,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component; rows of one doc_id stay or go together."""
-    (kept,) = common.unused(docs, "_kept")
-    named = jaccard_join.join(docs, SHINGLE, PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named[kept]), "left_semi")
+    """The row that names its component; of rows with its doc_id and text, the least by all columns."""
+    kept, key, copies, row = common.unused(docs, "_kept", "_key", "_copies", "_row")
+    named = common.materialise(jaccard_join.named(docs, SHINGLE, PERCENT).toDF(kept, key, copies), "distinct-named")
+    on = docs["doc_id"].cast("long").eqNullSafe(named[kept]) & (F.xxhash64(docs["text"]) == named[key])
+    once, more = docs.join(named.where(F.col(copies) == 1), on, "left_semi"), named.where(F.col(copies) > 1)
+    if more.isEmpty():
+        return once
+    least = docs.join(more, on).groupBy(kept, key).agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias(row))
+    return once.unionByName(least.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,16 @@ def test_distinct_links_at_five_words_and_80_percent(spark, sf):
     assert got == sorted({c for _, _, c in brute_groups(near, 5, 80)}) == [0, 10, 20, 30, 31, 40, 41]
 
 
+def test_distinct_keeps_one_row_of_repeated_ones(spark, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "x"), (1, a, "w"), (1, a, "x"), (2, a, "x"), (3, b, "x"), (3, a, "x"), (3, b, None), (None, b, "x"), (None, "lost words", "x"), (None, "lost words", "x"), (4, "", "x"), (4, "", "x"), (5, "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    one = corpus_pipeline.keep_distinct(spark, docs, sf)
+    assert one.columns == docs.columns
+    want = [(1, a, "w"), (3, b, None), (None, "lost words", "x"), (4, "", "x"), (4, "", "x"), (5, "alone", "x")]
+    assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, want))
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() > 0
