@@ -7,7 +7,8 @@ are hashed and looked up in the hash set of item windows; every hit is verified
 The item windows are counted first and broadcast in blocks of about ``BROADCAST_WINDOWS``, dealt by hash: one
 block and one pass over the documents for any benchmark of usual size, more passes for larger ones. Document
 windows are never shuffled; only verified hits are.
-Null texts have no words. Rows that agree in doc_id and text share their result; nothing is dropped for skew.
+Null texts have no words. Items without an id count as one item together, which comes first and is left out where
+items are written as text. Rows that agree in doc_id and text share their result; nothing is dropped for skew.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _windows(base: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """item, n, h, window: the distinct windows of benchmark(item_id, text)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words"))
-    items = items.where((F.size("words") > 0) & F.col("item").isNotNull()).withColumn("n", F.least(F.size("words"), F.lit(n)))
+    items = items.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
     items = items.select("item", "n", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("n")))).alias("window"))
     return items.distinct()
@@ -77,13 +78,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     rows, hits = find_hits(docs, benchmark, n)
     by = ["doc_id", "_key"]
     # hit stretches are merged with the running end of those before them; each document's hits are its own group
-    at = hits.groupBy(*by, "pos").agg(F.max("n").alias("n"), F.collect_set("item").alias("items"))
+    at = hits.groupBy(*by, "pos").agg(F.max("n").alias("n"), F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("_lost"))
     order = Window.partitionBy(*by).orderBy("pos")
     ended = F.coalesce(F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = at.withColumn("_new", F.greatest(F.col("pos") + F.col("n") - F.greatest(F.col("pos"), ended), F.lit(0)))
     found = at.groupBy(*by).agg(
-        F.sum("_new").cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("spans"),
+        F.sum("_new").cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("_lost").alias("_lost"), F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("spans"),
     ).withColumnRenamed("doc_id", "_d").withColumnRenamed("_key", "_k")
+    # sets leave out nulls
+    found = found.withColumn("items", F.when(F.col("_lost"), F.concat(F.array(F.lit(None).cast("string")), "items")).otherwise(F.col("items"))).drop("_lost")
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     return out.select("doc_id", "_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 

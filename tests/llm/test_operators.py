@@ -269,6 +269,25 @@ def test_decontamination(spark, docs, odd, none, sf):
         assert kept.columns == df.columns and kept.count() == sum(not w[-1] for w in want)
 
 
+def test_decontamination_by_items_without_id(spark, tmp_path):
+    import duckdb
+
+    said = " ".join(f"said{i}" for i in range(12))
+    rows = [(1, said), (2, f"before {BASE} {said}"), (3, BASE), (4, "clean")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, said), (None, "before alpha0"), (7, BASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.op5_decontamination(spark, str(tmp_path))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(1, 12, 12, 1, sha(""), True), (2, 93, 93, 2, sha("7"), True), (3, 80, 80, 1, sha("7"), True), (4, 1, 0, 0, sha(""), False)]
+    assert counted(map(tuple, got.collect())) == counted(want)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert counted(c.sql(decontaminate.OP5_SQL).fetchall()) == counted(want)
+    docs, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
+
+
 def test_decontamination_in_blocks(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, BASE), (2, LONG[:3000])], "item_id long, text string")
     want = counted(tuple(r) for r in decontaminate.scan(odd, bench).select("doc_id", "n_hit", "items").collect())
