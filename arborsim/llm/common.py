@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; only where it is unset and all is one process, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="arborsim-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,9 +45,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*made: DataFrame) -> None:
+    """Deletes tables that ``materialise`` made and nothing will read again."""
+    spark = made[0].sparkSession
+    for df in made:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def trimmed(run):
@@ -65,6 +71,32 @@ def trimmed(run):
     return whole
 
 
+#: A key with more than this share of a side's rows is dealt to several tasks; there are fewer than 256 such keys.
+HOT_SHARE = 256
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: Column | None = None, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left.join(right, key, how), where left has hot keys and right one row for each key.
+
+    Rows of a hot key are dealt by ``by`` to so many parts that each has 1 / HOT_SHARE of left, and the key's row on
+    the right is sent to each part. Without ``by`` rows are dealt in turn, for which left must be a plain read of a
+    table. Keys are counted in ``counted`` (left if None), a table too. Only the hot keys, fewer than HOT_SHARE,
+    are collected and broadcast.
+    """
+    counts = (left if counted is None else counted).groupBy(key).count()
+    total = counts.agg(F.sum("count").alias("_all"))
+    hot = counts.join(F.broadcast(total)).where((F.col("count") * HOT_SHARE > F.col("_all")) & F.col(key).isNotNull())
+    hot = hot.select(key, F.ceil(F.col("count") * HOT_SHARE / F.col("_all")).alias("n")).collect()
+    if not hot:
+        return left.join(right, key, how)
+    part, parts = unused(left, "_part", "_parts")
+    many = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {left.schema[key].dataType.simpleString()}, {parts} long"))
+    of = F.coalesce(F.col(parts), F.lit(1).cast("long"))
+    left = left.join(many, key, "left").withColumn(part, F.pmod(F.monotonically_increasing_id() if by is None else by, of)).drop(parts)
+    right = right.join(many, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), of - 1))).drop(parts)
+    return left.join(right, [key, part], how).drop(part)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,18 +5,22 @@ ceil(percent * n / 100) of them in common with any partner, so under any global
 token among the first n - ceil(percent * n / 100) + 1 of each: the prefix filter. It holds under several orders
 at once, so candidates must share prefix tokens under each of them.
 
-1. Sets: one pass gives each row its set's size and hash. Equal sets are one node from here on. The pass also
-   counts, in each batch, tokens found in a large share of the rows; such hot tokens are few by construction.
+1. Sets: one pass gives each row its set's size and two hashes. Equal sets are one node from here on; where the
+   first hash is the same for different sets, the second names them. The pass also counts, in each batch, tokens
+   found in a large share of the rows; such hot tokens are few by construction.
 2. Frequencies: a second pass sends every (token, node) to the token's bucket, packed at about 5 bytes. Buckets
    find which tokens lie in two nodes or more and how often; hot tokens skip the count and are dealt at random.
    Only shared tokens go on, to their nodes. Orders put rare tokens first, so a node whose prefix holds only
-   tokens of its own has no partner and ends here. What survives is a small part of the corpus.
-3. Stars: in each group of nodes with a common prefix token, all are verified against one leader, under each
-   order in turn. A large group of near copies becomes one component in work linear in its size.
+   tokens of its own has no partner and ends here. What survives is a small part of the corpus. The orders tell
+   frequencies apart by factors of 2, 4 and 16, and order tokens of one class by different hashes.
+3. Stars: each group of nodes with a common prefix token has one leader, under each order in turn; nodes that
+   share prefix tokens with it under the other orders too are verified against it. A large group of near copies
+   becomes one component in work linear in its size.
 4. The rest: pairs from different components that share prefix tokens under all orders are verified exactly.
 
-Nothing is capped, sampled or dropped; no pair of two components goes unseen. Tokens are 48-bit hashes and nodes
-63-bit hashes of whole sets: two different sets meet under one node with a chance of about (nodes squared) / 2e19.
+Nothing is capped, sampled or dropped; no pair of two components goes unseen. Tokens are 48-bit hashes: a pair of
+sets of 1,000 tokens counts one in common that isn't with a chance of 4e-9, which matters only at the threshold.
+Nodes are told apart by 126 bits. Joins deal the rows of hot nodes, roots and leaders to several tasks.
 
 Null, empty and blank texts have size 0 and link with nothing, not even each other. Rows with equal doc_id are
 rows like others; a null doc_id takes part but names no component unless it is alone.
@@ -38,10 +42,13 @@ from arborsim.llm.shingles import mix, set_hash, shingles, slices
 U64 = np.uint64
 TOKEN = U64((1 << 48) - 1)
 ORDERS = 3
-#: A token in more than this share of a batch's rows (and 64 of them) is reported; of those reported, tokens in
-#: more than this share of all rows are hot. There are at most (tokens of a row) / HOT of them.
+#: A token in more than half this share of a slice's rows (and 4 of them) is reported; of those reported, tokens
+#: found in more than this share of all rows (and 64 of them) are hot, at most (tokens of a row) / HOT. Any other
+#: token brings at most this share of the rows to one task.
 HOT = 1 / 128
 HOT_LEVEL = 60
+#: Bytes of text that are turned into postings at a time.
+SLICE = 3 << 20
 #: Postings that a bucket task holds, about.
 TASK_POSTINGS = 3_000_000
 #: A prefix token with more than 1 / HOT_GROUPS of an order's prefix postings meets its leader in several tasks;
@@ -50,33 +57,35 @@ HOT_GROUPS = 256
 
 
 def _order(keys: np.ndarray, k: int) -> np.ndarray:
-    """Keys (level << 48 | token) in global order k: by level, then by a hash of the token that differs with k."""
+    """Keys (level << 48 | token) in global order k: by class of 2^k levels, then by a hash of the token that differs with k."""
     if not k:
         return np.sort(keys)
     with np.errstate(over="ignore"):
-        return keys[np.argsort((keys & ~TOKEN) | mix((keys & TOKEN) + U64(k) * U64(0x9E3779B97F4A7C15)) >> U64(16), kind="stable")]
+        level = keys >> U64(48) + U64(k)
+        return keys[np.argsort(level << U64(48) | mix((keys & TOKEN) + U64(k) * U64(0x9E3779B97F4A7C15)) >> U64(16), kind="stable")]
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, node, n of each row, and key if docs has it; kind 1: a token (in node) found in n rows of a batch."""
+    """kind 0: doc_id, node, check, n of each row, and key if docs has it; kind 1: a token (in node) found in n rows of a slice."""
     key = ["key"] if "key" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "node", "n", *key]
+        names = ["kind", "doc_id", "node", "check", "n", *key]
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE):
                 doc, token = shingles(some.column(1), size)
                 n, node = set_hash(doc, token, some.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), some.column(0), pa.array(node), pa.array(n.astype(np.int64)), *some.columns[2:]], names=names)
+                _, check = set_hash(doc, token, some.num_rows, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), some.column(0), pa.array(node), pa.array(check), pa.array(n.astype(np.int64)), *some.columns[2:]], names=names)
                 _, first = np.unique(node, return_index=True)  # copies within the batch count once
                 one = np.zeros(len(n), bool)
                 one[first] = True
                 each, count = np.unique(token[one[doc]], return_counts=True)
-                often = count >= max(64, HOT * len(first))
+                often = count >= max(4, HOT * len(first) / 2)
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(each[often].astype(np.int64)), pa.array(count[often].astype(np.int64)), *[pa.nulls(m, pa.int64())] * len(key)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(each[often].astype(np.int64)), pa.nulls(m, pa.int64()), pa.array(count[often].astype(np.int64)), *[pa.nulls(m, pa.int64())] * len(key)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *key).mapInArrow(common.trimmed(run), "kind int, doc_id long, node long, n long" + (", key long" if key else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *key).mapInArrow(common.trimmed(run), "kind int, doc_id long, node long, check long, n long" + (", key long" if key else ""))
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -111,16 +120,21 @@ def _labels(spark: SparkSession, n: int) -> np.ndarray:
 PACKED = "label int, hot boolean, nodes int, count int, first long, wide int, body binary"
 
 
-def _postings(docs: DataFrame, size: int, labels: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """Packed (token, node) of every row's set, by the token's bucket; those of hot tokens are dealt by batch."""
+def _postings(docs: DataFrame, size: int, labels: np.ndarray, hot: np.ndarray, met: np.ndarray) -> DataFrame:
+    """Packed (token, node) of every row's set, by the token's bucket; those of hot tokens are dealt by batch.
+
+    met: first hashes that different sets have; there the second is the node.
+    """
     buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for some in slices(batch, 0):
+            for some in slices(batch, 0, SLICE):
                 doc, token = shingles(some.column(0), size)
                 n, node = set_hash(doc, token, some.num_rows)
+                if len(met):
+                    node = np.where(np.isin(node, met), set_hash(doc, token, some.num_rows, 2)[1], node)
                 new = np.zeros(len(n), bool)
                 for i, x in enumerate(node.tolist()):
                     if n[i] and x not in seen:
@@ -184,25 +198,29 @@ def _shared(labels: np.ndarray):
                 sizes.append(n[index])
         if not tokens:
             return
+        seen = np.concatenate(tokens)
+        seen.sort()
+        twice = np.unique(seen[1:][seen[1:] == seen[:-1]])
+        del seen
+        if not len(twice):
+            return
+        for i, token in enumerate(tokens):  # most tokens are their node's own: only those seen twice are put together
+            keep = twice[np.minimum(np.searchsorted(twice, token), len(twice) - 1)] == token
+            tokens[i], nodes[i], sizes[i] = token[keep], nodes[i][keep], sizes[i][keep]
         token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
         del tokens, nodes, sizes
-        for step in range(2):  # the first keeps tokens seen twice, the second counts different nodes
-            order = np.lexsort((node, token)) if step else np.argsort(token, kind="stable")
-            token, node, size = token[order], node[order], size[order]
-            if step and len(token):
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-                token, node, size = token[new], node[new], size[new]
-            if not len(token):
-                return
-            cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            run = np.diff(np.append(cut, len(token)))
-            count = np.repeat(run, run)
-            keep = count > 1
-            token, node, size, count = token[keep], node[keep], size[keep], count[keep]
-        if len(token):
-            level = np.minimum(np.ceil(np.log2(count)), HOT_LEVEL - 1).astype(U64)
-            yield _emit(labels, node, size, level << U64(48) | token)
+        order = np.lexsort((node, token))
+        token, node, size = token[order], node[order], size[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, size = token[new], node[new], size[new]
+        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        run = np.diff(np.append(cut, len(token)))
+        count = np.repeat(run, run)
+        keep = count > 1
+        if keep.any():
+            level = np.minimum(np.ceil(np.log2(count[keep])), HOT_LEVEL - 1).astype(U64)
+            yield _emit(labels, node[keep], size[keep], level << U64(48) | token[keep])
 
     return run
 
@@ -243,9 +261,15 @@ def _survivors(percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their exact intersection."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb")
+    """The pairs (a, b) that link, by their exact intersection, of those that share prefix tokens under every order."""
+    orders = [f"p{o}" for o in range(ORDERS)]
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"), *(F.col(p).alias(f"{p}{x}") for p in orders))
+    pairs = common.materialise(pairs, "jaccard-pairs")
+    full = common.dealt_join(pairs, side("a"), "a", F.xxhash64("b"))
+    full = common.dealt_join(full, side("b"), "b", F.xxhash64("a"), counted=pairs)
+    for p in orders:
+        full = full.where(F.arrays_overlap(f"{p}a", f"{p}b"))
+    full = full.select("a", "b", "na", "nb", "ka", "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,9 +369,15 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, HOT * rows)).select("node").collect()
     hot = np.array(sorted(r[0] for r in hot), U64)
+    # of n nodes, n^2 / 2e19 share a first hash
+    met = sets.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("node").collect()
+    met = np.array(sorted(r[0] for r in met), np.int64)
+    if len(met):
+        sets = sets.withColumn("node", F.when(F.col("node").isin(met.tolist()), F.col("check")).otherwise(F.col("node")))
+    sets = sets.drop("check")
     tasks = max(common.shuffle_partitions(spark), -(-total // TASK_POSTINGS))
     labels = _labels(spark, tasks)
-    posts = _postings(docs, size, labels, hot).repartition(tasks, "label").mapInArrow(common.trimmed(_shared(labels)), BY_NODE)
+    posts = _postings(docs, size, labels, hot, met).repartition(tasks, "label").mapInArrow(common.trimmed(_shared(labels)), BY_NODE)
     schema = "node long, n long, own long, keys binary, " + ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
     nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(common.trimmed(_survivors(percent)), schema), "jaccard-nodes")
     comp = nodes.select("node", F.col("node").alias("root"))
@@ -360,14 +390,14 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         comp = common.materialise(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-roots")
-    return sets.join(comp.where("node <> root"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    return common.dealt_join(sets, comp.where("node <> root"), "node", how="left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
-    by = _linked(docs.select("doc_id", "text"), size, percent)
+    by = common.materialise(_linked(docs.select("doc_id", "text"), size, percent), "jaccard-rows")
     least = by.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = by.join(least, "root", "left")
+    out = common.dealt_join(by, least, "root", how="left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
