@@ -1,26 +1,32 @@
-"""Personal data by a skip-chain conditional random field over candidate spans.
-
-Base rules (see ``base_spans``) find emails, addresses, cards and phones. The sites of the field are the base
-spans and the looser candidates around them: runs of digits with separators that no rule accepts, and written-out
-emails. Each site has a label, none or one of the kinds. Neighbouring sites share a chain potential, and sites
-that repeat or resemble each other anywhere in the document (equal digits, equal last digits, equal mailbox)
-share a hub variable, to which each has a skip potential: any two are two hops apart, in work linear in them. A
-hub with base sites takes one of their kinds, by their shares, so a candidate hears of them wherever it stands.
-Loopy sum-product messages run until they settle and make labels agree. Base sites keep their labels; a
-candidate whose marginal for a kind reaches ``THRESHOLD`` is added as a span of that kind.
-
-Weights are trained by pseudo-likelihood on the sites of at most about ``max_docs`` documents, taken by hash of
-their id, with the base rules as teacher; candidates that resemble a base site aren't used as negatives. There
-a site's hub has the share of the labels of the hub's other sites.
+"""Personal data and secrets by a skip-chain conditional random field over tokens.
+
+Base rules (see ``base_spans``) find emails, addresses, cards and phones. Regions are the base spans and looser
+candidates: runs of digits with separators that no rule accepts, written-out emails, long keys of letters and
+digits. The field's sites are the tokens (runs of anything but white space) of all regions and ``AROUND`` tokens
+on either side; every other token is no personal data. A site's label is none or one of the kinds, ``secret``
+among them. Neighbouring tokens share a chain potential. Tokens that repeat, and tokens of regions that resemble
+each other (equal digits, equal last digits, equal mailbox, equal key), share a hub variable wherever they stand
+in the document, to which each has a skip potential: any two are two hops apart, in work linear in them. A hub
+with tokens of base spans takes one of their kinds, by their shares, so a candidate hears of them wherever it
+stands. Loopy sum-product messages run until they settle and make labels agree. Base tokens keep their labels; a
+run of a region's tokens whose marginals for a kind reach ``THRESHOLD`` is added as a span of that kind.
+
+Weights are trained by pseudo-likelihood on the tokens of at most about ``max_docs`` documents, those of the least
+hashes of their id. The teacher is the base rules and an assignment rule for secrets (a key's name, ``=`` or
+``:``, the key), of which the field doesn't see all: a part of the documents is read with the words around hidden,
+and each case comes again with loose copies of some of its spans, as no rule would find them, labelled as what
+they copy, and with made-up decoys of the same form, labelled none. So shape and context teach the kinds, and
+agreement with a distant like token is all that tells a loose copy from a decoy.
 
 Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their length; a
-document's field is as large as its candidates. Repeated rows and clashing column names don't matter.
+document's field is as large as its regions. Repeated rows and clashing column names don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,16 +37,24 @@ from pyspark.sql import functions as F
 
 from arborsim.llm import common
 
-KINDS = ("email", "ip", "card", "phone")
-MAX_DOCS, THRESHOLD, SETTLED = 3000, 0.9, 1e-4
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
+MAX_DOCS, THRESHOLD, SETTLED, AROUND = 3000, 0.9, 1e-4, 2
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGITS = re.compile(r"[+(]?[0-9](?:[0-9]|[ ().\-/](?=[ ().\-/]?[0-9(]))*")
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]| dot ) ?)[A-Za-z0-9-]{1,63})+")
+_DIGITS = re.compile(r"[+(]?[0-9](?:[0-9]|[ ().\-/](?=[ ().\-/]{0,2}[0-9(]))*")
+_AT = re.compile(r"\(at\)|\[at\]| at ")
+_HOST = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]+)+")
+#: A key: 20 characters or more, letters and digits among them.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+_ASSIGNED = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)[\"']? ?[=:] ?[\"']?$")
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_TOKEN = re.compile(r"\S+")
+_WORDS = re.compile(r"\w[\w-]*")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -85,19 +99,29 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _is_key(piece: str) -> bool:
+    return any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
+
+
+def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, kind or -1): base spans and the candidates that overlap none of them, by start."""
     out, taken = [(a, b, k) for a, k, b in base], sorted((a, b) for a, _, b in base)
-    starts = np.array([a for a, _ in taken], np.int64)
-    ends = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
-    free = lambda a, b: not ((i := int(np.searchsorted(starts, b))) and ends[i - 1] > a)
+    starts = [a for a, _ in taken]
+    ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    free = lambda a, b: not ((i := bisect_left(starts, b)) and ends[i - 1] > a)
     found: list[tuple[int, int]] = []
     if _DIGIT.search(text):
         found += [m.span() for m in _DIGITS.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7]
-    if "at)" in text or "at]" in text or " at " in text:
-        found += [m.span() for m in _WRITTEN.finditer(text)]
+        found += [m.span() for m in _KEY.finditer(text) if _is_key(m[0])]
+    for m in _AT.finditer(text):
+        host, left = _HOST.match(text, m.end()), m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = left
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < left:
+            found.append((start, host.end()))
     until = -1
-    for a, b in sorted(found):
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if a >= until and free(a, b):
             out.append((a, b, -1))
             until = b
@@ -105,54 +129,101 @@ def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 
 def keys(piece: str) -> list[str]:
-    """What makes two sites alike: equal digits, equal last nine digits, equal mailbox and host.
+    """What makes two regions alike: equal digits, equal last nine digits, equal mailbox and host, equal key.
 
-    Sites that have any key in common have the last in common.
+    Regions that have any of these in common have the last in common.
     """
     low = re.sub(r" ?[\[(]at[\])] ?| at ", "@", piece.lower())
     if "@" in low:
         return ["m:" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", low)]
+    if _is_key(piece) and len(piece) >= 20:
+        return ["k:" + low]
     digits = "".join(_DIGIT.findall(piece))
     dots = ["i:" + piece] if piece.count(".") == 3 else []
     return dots + (["d:" + digits] if len(digits) >= 7 else []) + (["e:" + digits[-9:]] if len(digits) > 9 else [])
 
 
-CUES = ({"email", "mail", "e-mail", "contact", "courriel", "correo"}, {"ip", "host", "server", "address", "adresse"}, {"card", "visa", "credit", "karte", "carte", "tarjeta"}, {"phone", "tel", "call", "fax", "mobile", "telefon", "teléfono", "téléphone"})
+def tokens(text: str, areas: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, region or -1) of the tokens of the regions and around them, by start.
+
+    A token that lies in several regions belongs to the first base region of them, else to the first.
+    """
+    out: dict[int, tuple[int, int, int]] = {}
+    for r in sorted(range(len(areas)), key=lambda r: areas[r][2] < 0):
+        a, b, _ = areas[r]
+        first = a
+        for _ in range(AROUND + 1):  # back over this token and those before it
+            while first and not text[first - 1].isspace():
+                first -= 1
+            begin = first
+            while first and text[first - 1].isspace():
+                first -= 1
+            if first == 0:
+                break
+        after = 0
+        for m in _TOKEN.finditer(text, begin):
+            after += m.start() >= b
+            if after > AROUND:
+                break
+            mine = m.start() < b and m.end() > a
+            if m.start() not in out or mine and out[m.start()][2] < 0:
+                out[m.start()] = (m.start(), m.end(), r if mine else -1)
+    return sorted(out.values())
+
+
+CUES = (
+    {"email", "mail", "e-mail", "contact", "courriel", "correo"}, {"ip", "host", "server", "address", "adresse"}, {"card", "visa", "credit", "karte", "carte", "tarjeta"},
+    {"phone", "tel", "call", "fax", "mobile", "telefon", "teléfono", "téléphone"}, {"token", "secret", "password", "passwd", "key", "api_key", "apikey"},
+)
 
 
-def observe(text: str, a: int, b: int) -> np.ndarray:
-    """Binary features of a site, without the rules' own verdicts."""
-    piece, before = text[a:b], text[max(0, a - 40) : a].lower()
+def observe(text: str, a: int, b: int, area: tuple[int, int, int] | None = None) -> np.ndarray:
+    """Binary features of a token, of its region's form and of the words before that, without the rules' own verdicts."""
+    own, piece = text[a:b], text[area[0] : area[1]] if area else ""
     n = len(_DIGIT.findall(piece))
-    words = {w.strip(".,:;()") for w in before.split()[-3:]}
+    start = area[0] if area else a
+    before = text[max(0, start - 40) : start].lower()
+    words = set(_WORDS.findall(before)[-3:])
+    key = len(piece) >= 20 and " " not in piece and _is_key(piece)
     return np.array([
-        1, n == 0, 7 <= n <= 9, 10 <= n <= 11, 12 <= n <= 15, n >= 16, piece.count(".") == 3, "." in piece, " " in piece, "-" in piece, "(" in piece, piece[:1] == "+",
-        "@" in piece, any(c.isalpha() for c in piece), 12 <= n <= 19 and luhn("".join(_DIGIT.findall(piece))), *(bool(words & c) for c in CUES),
+        1, not area, not area and any(c.isdigit() for c in own), bool(area) and any(c.isdigit() for c in own), bool(area) and n == 0, 7 <= n <= 9 and not key, 10 <= n <= 11 and not key, 12 <= n <= 15 and not key, n >= 16 and not key,
+        piece.count(".") == 3, "." in piece, " " in piece, "-" in piece, "(" in piece, piece[:1] == "+", "@" in piece, any(c.isalpha() for c in piece) and not key, not key and 12 <= n <= 19 and luhn("".join(_DIGIT.findall(piece))),
+        key, key and len(piece) >= 32, key and bool(_HEX.fullmatch(piece)), before.rstrip("\"' ")[-1:] in ("=", ":"), *(bool(words & c) for c in CUES),
     ], float)
 
 
-def links(text: str, at: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip): pairs of neighbouring sites that aren't alike; (site, hub) of each site that has others alike."""
-    by = defaultdict(list)
-    for i, (a, b, _) in enumerate(at):
-        for k in keys(text[a:b])[-1:]:
-            by[k].append(i)
-    hubs = [own for own in by.values() if len(own) > 1]
+#: Features that tell of the tokens around; some cases are read without them.
+AROUND_FEATURES = 1 + len(CUES)
+
+
+def links(text: str, areas: list[tuple[int, int, int]], at: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(chain, skip): pairs of neighbouring tokens; (token, hub) of tokens that others repeat or resemble."""
+    by: dict[str, list[int]] = defaultdict(list)
+    for i, (a, b, r) in enumerate(at):
+        if r >= 0:
+            for k in keys(text[areas[r][0] : areas[r][1]])[-1:]:
+                by[k].append(i)
+            own = text[a:b].strip(".,:;()\"'").lower()
+            if len(own) >= 7 and any(c.isdigit() for c in own):
+                by["t:" + own].append(i)
+    hubs = list({tuple(own): None for own in by.values() if len({at[i][2] for i in own}) > 1})
     skip = sorted((i, h) for h, own in enumerate(hubs) for i in own)
-    hub = dict(skip)
-    chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 40 and (i not in hub or hub[i] != hub.get(i + 1))]
+    chain = [(i, i + 1) for i in range(len(at) - 1) if text[at[i][1] : at[i + 1][0]].isspace()]
     return chain, skip
 
 
 class SkipChainCRF:
-    """Labels 0 (none) and 1 to 4 (kinds). Trained state: three small arrays."""
+    """Labels 0 (none) and 1 to 5 (kinds). Trained state: three small arrays."""
 
     def __init__(self):
         k = len(KINDS) + 1
         self.unary, self.chain, self.skip = np.zeros((k, len(observe("", 0, 0)))), np.zeros((k, k)), np.eye(k) * 2.0
 
-    def train(self, docs: list[tuple[list[list[float]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 200, rate: float = 0.5) -> SkipChainCRF:
-        """Pseudo-likelihood: each labelled site given its features and its neighbours' labels (-1: unlabelled)."""
+    def train(self, docs: list[tuple[list[list[float]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 300, rate: float = 0.04) -> SkipChainCRF:
+        """Pseudo-likelihood: each labelled token given its features and its neighbours' labels (-1: unlabelled).
+
+        Of a hub, a token sees the shares of the labels of the hub's other tokens.
+        """
         k, x, y, chain, skip = len(KINDS) + 1, [], [], [], []
         for feats, labels, pairs, alike in docs:
             around, hubs = np.zeros((2, len(labels), k)), np.zeros((len(labels), k))  # there are fewer hubs than sites
@@ -165,10 +236,10 @@ class SkipChainCRF:
                 if labels[i] >= 0:
                     hubs[h, labels[i]] += 1
             for i, h in alike:
-                around[1, i] = hubs[h]
+                others = hubs[h].copy()
                 if labels[i] >= 0:
-                    around[1, i, labels[i]] -= 1
-                around[1, i] /= max(around[1, i].sum(), 1)
+                    others[labels[i]] -= 1
+                around[1, i] += others / max(others.sum(), 1)
             for i, label in enumerate(labels):
                 if label >= 0:
                     x.append(feats[i])
@@ -177,15 +248,20 @@ class SkipChainCRF:
                     skip.append(around[1, i])
         if not y:
             return self
-        x, y, chain, skip = np.array(x), np.eye(k)[y], np.array(chain), np.array(skip)
-        for _ in range(steps):
-            z = x @ self.unary.T + chain @ self.chain + skip @ self.skip
+        x, y = np.concatenate([np.array(x), np.array(chain), np.array(skip)], 1), np.eye(k)[y]
+        f = x.shape[1] - 2 * k
+        w = np.concatenate([self.unary.T, self.chain, self.skip])
+        rest, decay = w.copy(), np.concatenate([np.full(f, 2e-4), np.full(2 * k, 1e-3)])[:, None]
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, steps + 1):
+            z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
-            gap = y - p / p.sum(1, keepdims=True)
-            self.unary += rate * (gap.T @ x / len(y) - 1e-3 * self.unary)
-            c, s = chain.T @ gap / len(y), skip.T @ gap / len(y)
-            self.chain += rate * ((c + c.T) / 2 - 1e-2 * self.chain)
-            self.skip += rate * ((s + s.T) / 2 - 1e-3 * (self.skip - np.eye(k) * 2.0))
+            up = x.T @ (y - p / p.sum(1, keepdims=True)) / len(y) - decay * (w - rest)
+            for m in (up[f : f + k], up[f + k :]):  # both potentials are symmetric
+                m[:] = (m + m.T) / 2
+            first, second = 0.9 * first + 0.1 * up, 0.99 * second + 0.01 * up * up
+            w = w + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        self.unary, self.chain, self.skip = w[:f].T.copy(), w[f : f + k].copy(), w[f + k :].copy()
         return self
 
     def marginals(self, feats: np.ndarray, known: list[int], chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
@@ -230,12 +306,25 @@ class SkipChainCRF:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base, all): spans as (start, kind, end), sorted."""
         base = base_spans(text)
-        at = sites(text, base)
-        if all(k >= 0 for _, _, k in at):
+        areas = regions(text, base)
+        if all(k >= 0 for _, _, k in areas):
             return base, base
-        chain, skip = links(text, at)
-        p = self.marginals(np.array([observe(text, a, b) for a, b, _ in at]), [k + 1 if k >= 0 else -1 for _, _, k in at], chain, skip)
-        more = [(a, int(q.argmax()) - 1, b) for (a, b, k), q in zip(at, p) if k < 0 and q[1:].max() >= THRESHOLD]
+        at = tokens(text, areas)
+        chain, skip = links(text, areas, at)
+        known = [areas[r][2] + 1 if r >= 0 and areas[r][2] >= 0 else -1 for _, _, r in at]
+        p = self.marginals(_features(text, areas, at), known, chain, skip)
+        more, last = [], (-1, -1)
+        for (a, b, r), q in zip(at, p):
+            k = int(q.argmax()) - 1
+            if r < 0 or areas[r][2] >= 0 or k < 0 or q[k + 1] < THRESHOLD:
+                last = (-1, -1)
+                continue
+            a, b = max(a, areas[r][0]), min(b, areas[r][1])
+            if last == (r, k):
+                more[-1] = (more[-1][0], k, b)
+            else:
+                more.append((a, k, b))
+            last = (r, k)
         return base, sorted(base + more)
 
 
@@ -244,33 +333,101 @@ def _soft(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def example(text: str):
-    """A training case: features, labels (unlabelled where a candidate resembles a base site), links; None without sites."""
-    at = sites(text, base_spans(text))
-    if not at:
-        return None
-    sure = {k for a, b, kind in at if kind >= 0 for k in keys(text[a:b])}
-    labels = [kind + 1 if kind >= 0 else (-1 if sure & set(keys(text[a:b])) else 0) for a, b, kind in at]
-    return [observe(text, a, b).tolist() for a, b, _ in at], labels, *links(text, at)
+def _features(text: str, areas: list[tuple[int, int, int]], at: list[tuple[int, int, int]]) -> np.ndarray:
+    return np.array([observe(text, a, b, areas[r] if r >= 0 else None) for a, b, r in at])
+
+
+def _secrets(text: str, areas: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The regions with the teacher's verdict on keys: a secret where one is assigned to a name that says so."""
+    return [(a, b, 4 if k < 0 and _ASSIGNED.search(text[max(0, a - 40) : a]) and _is_key(text[a:b]) else k) for a, b, k in areas]
+
+
+def _loose(kind: int, piece: str, pick) -> str:
+    """The span as no rule would find it."""
+    digits = "".join(_DIGIT.findall(piece))
+    if kind == 0:
+        user, host = piece.split("@", 1)
+        return f"{user} (at) {host}" if pick.random() < 0.5 else f"{user} at {host.replace('.', ' dot ')}"
+    if kind == 1:
+        return piece.replace(".", " . " if pick.random() < 0.5 else "-")
+    if kind == 2:
+        return (". " if pick.random() < 0.5 else "/").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3:
+        return f"{digits[:1]} {digits[1:4]} {digits[4:7]} {digits[7:]}" if pick.random() < 0.5 else f"{digits[:4]}.{digits[4:7]}.{digits[7:]}"
+    return piece
+
+
+def _decoy(kind: int, piece: str, pick) -> str:
+    """Something of the same form that nothing resembles."""
+    other = "".join(str(pick.randint(0, 9)) if c.isdigit() else c for c in piece)
+    return _loose(kind, other if kind else "nobody" + other, pick)
+
+
+def example(text: str, seed: int = 0):
+    """Training cases of a text: (features, labels, chain, skip) each; labels are -1 for tokens that are left out.
+
+    The text as it is, and with loose copies and decoys at its end. Every third is read without its context.
+    """
+    import random
+
+    pick, out = random.Random(seed), []
+    base = base_spans(text)
+    judged = _secrets(text, regions(text, base))
+    made: list[tuple[int, int]] = []  # where loose copies (label) and decoys (0) begin
+    longer = text
+    for a, b, k in judged[:20] if any(k >= 0 for _, _, k in judged) else []:
+        if k >= 0 and not any(j != k and x < b and y > a for x, y, j in judged):
+            for label, write in ((k + 1, _loose), (0, _decoy)):
+                longer += " und so weiter, "
+                made.append((len(longer), label))
+                longer += write(k, text[a:b], pick) + " . "
+    for body in (text, longer) if made else (text,):
+        spans = base_spans(body)
+        areas = regions(body, spans)
+        if not areas:
+            continue
+        judged = _secrets(body, areas)
+        at = tokens(body, areas)
+        sure = {k for a, b, kind in judged if kind >= 0 for k in keys(body[a:b])}
+        starts, labels = [a for a, _ in made], []
+        for a, _, r in at:
+            i = bisect_right(starts, a) - 1 if body is longer and made else -1
+            if r < 0:
+                labels.append(0)
+            elif judged[r][2] >= 0:
+                labels.append(judged[r][2] + 1)
+            elif i >= 0:
+                labels.append(made[i][1])
+            else:
+                labels.append(-1 if sure & set(keys(body[areas[r][0] : areas[r][1]])) else 0)
+        x = _features(body, areas, at)
+        if pick.random() < 1 / 3:
+            x[:, -AROUND_FEATURES:] = 0
+        out.append((x.astype(int).tolist(), labels, *links(body, areas, at)))
+    return out
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 5) -> SkipChainCRF:
-    """Only the sampled documents' features and links reach the driver."""
+    """Only the sampled documents' features and links reach the driver, of at most ``max_docs`` rows.
+
+    The sample is the rows with the least hashes of id and text among those with a digit or an at sign, drawn from
+    a share of all rows that holds about 1.3 times as many.
+    """
+    import json
+
     total = docs.count()
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    sample = docs.where((u < int(min(1.0, max_docs / max(total, 1)) * 1_000_000) + 1) & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    u = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+    share = min(1.0, 1.3 * max_docs / max(total, 1))
+    sample = docs.where((F.pmod(u, F.lit(1_000_000)) < int(share * 1_000_000) + 1) & F.col("text").rlike("[0-9@]")).select(u.alias("u"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for batch in batches:
-            got = [(d, json.dumps(e)) for d, t in zip(*(c.to_pylist() for c in batch.columns)) if t and (e := example(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([e for _, e in got], pa.string())], names=["doc_id", "case"])
-
-    import json
+            for d, t in zip(*(c.to_pylist() for c in batch.columns)):
+                got = [json.dumps(e) for e in example(t or "", d)]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.string())], names=["u", "k", "case"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, case string").limit(int(1.3 * max_docs)).collect()
-    return SkipChainCRF().train([json.loads(r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))])
+    rows = sample.mapInArrow(run, "u long, k int, case string").orderBy("u", "k", "case").limit(2 * max_docs).collect()
+    return SkipChainCRF().train([json.loads(r["case"]) for r in rows])
 
 
 def find(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
@@ -289,8 +446,9 @@ def find(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_secret and n_spans: how many of all spans are secrets, and all of them."""
     docs = common.table(spark, sf_dir, "documents")
     found = find(docs, fit(docs))
     say = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(say("base").cast("binary"), 256).alias("base_sha256"), say("all").alias("spans"))
+    count = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *(count("base", k) for k in BASE), F.sha2(say("base").cast("binary"), 256).alias("base_sha256"), say("all").alias("spans"), count("all", "secret"), F.size("all").cast("long").alias("n_spans"))

@@ -151,6 +151,52 @@ def test_skip_links_reach_everywhere(docs):
                 assert len(base) == 1 and len(every) == n + 1 and {k for _, k, _ in every} == {3}
 
 
+def test_skip_links_are_agreement_only(spark):
+    """A loose copy is found by its like alone: the same form with other digits isn't, nor a key without a name."""
+    model = pii_crf.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    text = "card 4845168114407329 and later 4845/1681/1440/7329 was seen, then far away 4845/1681/1440/7321"
+    base, every = model.spans(text)
+    assert [text[a:b] for a, k, b in every if (a, k, b) not in base] == ["4845/1681/1440/7329"]
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    assert [k for _, k, _ in model.spans(f'the token = "{key}" is not public')[1]] == [4]
+    assert model.spans(f"commit {key} is public")[1] == []
+
+
+def test_secrets_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, planted, found = pii_crf.fit(docs), set(), set()
+    for d, t in texts(docs):
+        planted |= {(d, m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+        base, every = model.spans(t)
+        found |= {(d, a, b) for a, k, b in every if (a, k, b) not in base}
+    assert planted and found == planted
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 6), st.booleans())
+def test_marginals_of_small_fields(seed, n, loopy):
+    """Exact on trees; close on loops with weak potentials."""
+    import itertools
+
+    rng = np.random.default_rng(seed)
+    m = pii_crf.SkipChainCRF()
+    k, f = m.unary.shape
+    m.unary = rng.normal(size=(k, f))
+    m.chain, m.skip = (rng.normal(size=(k, k)) * (0.3 if loopy else 1.0) for _ in range(2))
+    m.chain, m.skip = (m.chain + m.chain.T) / 2, (m.skip + m.skip.T) / 2
+    feats = rng.normal(size=(n, f)) / np.sqrt(f)
+    chain = [(i, i + 1) for i in range(n - 1)]
+    skip = [(0, 0), (n - 1, 0)] if loopy else [(0, 0)]
+    p = np.zeros((n, k))
+    unary = feats @ m.unary.T
+    for y in itertools.product(range(k), repeat=n):
+        at = sum(unary[i, c] for i, c in enumerate(y)) + sum(m.chain[y[i], y[j]] for i, j in chain)
+        w = np.exp(at) * sum(np.exp(sum(m.skip[y[i], h] for i, _ in skip)) for h in range(k))
+        p[range(n), y] += w
+    got = m.marginals(feats, [-1] * n, chain, skip)
+    assert np.abs(got - p / p.sum(1, keepdims=True)).max() < (0.1 if loopy else 1e-3)
+
+
 # 3
 
 
@@ -475,4 +521,4 @@ def test_models_travel():
 
     m = quality.CompressionClassifier().fit([("good text here " * 9, 1), ("BAD!! TEXT!! " * 9, 0)] * 20)
     assert pickle.loads(pickle.dumps(m)).score([b"good text here"]) == m.score([b"good text here"])
-    assert json.dumps(pii_crf.example("mail a@b.de and +1 408 555 7800"))
+    assert len(pii_crf.example("mail a@b.de and +1 408 555 7800")) == 2 and json.dumps(pii_crf.example("mail a@b.de and +1 408 555 7800"))
