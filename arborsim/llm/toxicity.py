@@ -1,14 +1,19 @@
-"""Toxicity by a weighted grammar of clauses.
+"""Toxicity by a weighted finite-state grammar of clauses.
 
-Five small weighted transducers read the word classes of a clause: insult, threat, target, negation and reported
-speech. Their product (composed once, its reachable states tabled) walks the clause and gives its weight: an
-insult or threat counts for more beside a target, for less after a negation and in reported speech. Only clauses
-in which an insult or a threat occurs are walked; isolated words elsewhere have no say.
+A lexical transducer reads the words of a clause as classes (insult, threat, target, negation, reported speech,
+break, other); a word that insults or threatens may also be read as an ordinary one, at no weight. Three
+weighted transducers, composed into one machine, read the classes and rewrite them: negation marks the words it
+governs (the next ``SCOPE``, up to a break), target marks insults that follow it and turns a threat that reaches
+it into a hit, reported speech marks all that follows a word of saying. Every arc has a weight; the weight of a
+clause is that of its best path, the sum of its words' and marks' weights, so a denied insult is best read as no
+insult at all. Only clauses in which an insult or a threat occurs are walked; isolated words have no say.
 
 Insult words are a list of fixed values and words and word beginnings learned from labels: those whose document
-frequency differs most between toxic and other rows, each with its log odds as weight. Clause weights are summed up for a document
-and a logistic curve, fitted on other labelled rows, gives the score. The fit uses at most about ``max_rows``
-labelled rows, chosen by a hash of their id and never held out.
+frequency differs most between toxic and other rows, each with its log odds as weight. The marks' weights are
+the log odds of documents with a mark against those with a plain insult, drawn towards the values in ``MARKS``
+where labels are few. Clause weights are summed up for a document and a logistic curve, fitted on other labelled
+rows, gives the score. The fit uses at most about ``max_rows`` labelled rows, chosen by a hash of their id and
+never held out.
 
 Null and empty texts score as texts without matches. Without labels the curve falls back to a fixed one. Very
 long texts are read once, clause by clause. Repeated rows and clashing columns don't matter.
@@ -33,73 +38,108 @@ MAX_ROWS = 9000
 #: Common words of each class in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum clown worthless pathetic trash garbage disgusting jerk fool imbecile vermin filth bastard coward pig liar dummkopf arschloch abschaum versager trottel connard imbécile ordure minable crétin basura imbécil estúpido inútil escoria".split()
 THREATS = "kill hurt destroy beat shoot stab burn murder attack töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours youre he she they them him her u du dich dir euch ihr sie tu toi te vous ton ta tú tu ti usted ustedes".split()
-NEGATIONS = "not never no nobody isnt arent dont wont cannot nicht kein keine nie pas jamais ne non nunca jamás ni".split()
-REPORTS = "said says say called calls wrote quoted claimed told reported sagte sagt nannte schrieb dit disait appelé écrit dijo llamó escribió".split()
+TARGETS = "you your yours youre youve youll he she they them him her u du dich dir euch ihr sie tu toi te vous ton ta tú ti usted ustedes".split()
+NEGATIONS = "not never no nobody nor without aint arent cant cannot couldnt didnt doesnt dont hadnt hasnt havent isnt mustnt neednt shouldnt wasnt werent wont wouldnt nicht kein keine keinen nie niemals pas jamais ne non nunca jamás ni sin".split()
+REPORTS = "said says say saying call calls called wrote quoted quotes claimed claims told reported sagte sagt nannte nennt schrieb dit disait appelé écrit dijo llamó llaman escribió".split()
+BREAKS = "but however though although yet aber doch jedoch mais pourtant pero sino".split()
 
 CLAUSE = re.compile(r"[.!?;:,\n]+")
-WORD = re.compile(r"[^\W\d_]+")
-I, V, T, N, R, O = "IVTNRO"
+WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+I, V, T, N, R, B, O = CLASSES = "IVTNRBO"
+#: Words that a negation governs, and words from a threat to the target that it reaches.
+SCOPE, REACH = 4, 3
+#: Weights of the marks before labels say otherwise: aimed at a target, a hit, denied, reported.
+MARKS = {"a": 0.5, "H": 4.0, "-": -8.0, "r": -2.0}
+#: So many documents with a mark weigh as much as its value in MARKS.
+TRUST = 50
 
 
 class Transducer:
-    """Weighted and deterministic: arcs[state][class] = (next state, log weight); a missing arc stays put at 0."""
-
-    def __init__(self, arcs: dict[int, dict[str, tuple[int, float]]], final: dict[int, float] | None = None):
-        self.arcs, self.final = arcs, final or {}
-
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get(state, {}).get(symbol, (state, 0.0))
-
-
-#: Parts of the grammar. Insult and threat score what they read; the others scale what follows or surrounds it.
-INSULT = Transducer({0: {I: (1, 0.0)}})
-THREAT = Transducer({0: {V: (1, 0.0)}, 1: {T: (2, 0.0)}}, {1: 0.3, 2: 1.0})
-TARGET = Transducer({0: {T: (1, 0.0)}})
-NEGATION = Transducer({0: {N: (3, 0.0)}, **{k: {c: (k - 1, 0.0) for c in (I, V, T, R, O)} | {N: (3, 0.0)} for k in (1, 2, 3)}})
-REPORTED = Transducer({0: {R: (1, 0.0)}})
-
-
-def compose(parts: tuple[Transducer, ...], symbols: str = "IVTNRO") -> dict[tuple[tuple[int, ...], str], tuple[int, ...]]:
-    """The product's reachable arcs."""
-    start = (0,) * len(parts)
-    todo, arcs = [start], {}
-    while todo:
-        s = todo.pop()
-        for c in symbols:
-            if (s, c) not in arcs:
-                arcs[s, c] = tuple(p.step(k, c)[0] for p, k in zip(parts, s))
-                todo.append(arcs[s, c])
-    return arcs
-
-
-GRAMMAR = compose((INSULT, THREAT, TARGET, NEGATION, REPORTED))
-
-
-def clause_weight(symbols: list[tuple[str, float]]) -> tuple[float, float, bool, bool]:
-    """(insult, threat, negated, reported) of a clause's (class, weight) sequence."""
-    s, insult, negated = (0,) * 5, 0.0, False
-    for c, w in symbols:
-        if c == I:
-            scale = 0.3 if s[3] else 1.0
-            insult += w * scale
-            negated |= bool(s[3])
-        s = GRAMMAR[s, c]
-    if s[4]:
-        insult *= 0.5
-    if s[2]:
-        insult *= 1.2
-    threat = THREAT.final.get(s[1], 0.0) * (0.3 if NEGATION.arcs and s[3] else 1.0)
-    return insult, threat, negated, bool(s[4])
+    """Letter by letter: arcs[state, symbol] = [(output, weight, next state)]; any state may be the last."""
+
+    def __init__(self, start, arcs: dict[tuple, list[tuple[str, float, object]]]):
+        self.start, self.arcs = start, arcs
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Reads as self does and writes what other makes of self's output; states are pairs, weights sums."""
+        inputs, todo, arcs = sorted({x for _, x in self.arcs}), [(self.start, other.start)], {}
+        seen = set(todo)
+        while todo:
+            p, q = todo.pop()
+            for x in inputs:
+                out = [(z, u + v, (p2, q2)) for y, u, p2 in self.arcs.get((p, x), ()) for z, v, q2 in other.arcs.get((q, y), ())]
+                if out:
+                    arcs[(p, q), x] = out
+                for _, _, s in out:
+                    if s not in seen:
+                        seen.add(s)
+                        todo.append(s)
+        return Transducer((self.start, other.start), arcs)
+
+    def best(self, words: list[list[tuple[str, float]]]) -> tuple[float, tuple[str, ...]]:
+        """Weight and output of the best path for a sequence of words, each with its (class, weight) readings."""
+        at = {self.start: (0.0, ())}
+        for readings in words:
+            after: dict = {}
+            for state, (w, out) in at.items():
+                for x, u in readings:
+                    for y, v, s in self.arcs.get((state, x), ()):
+                        if s not in after or w + u + v > after[s][0]:
+                            after[s] = (w + u + v, (out, y))
+            at = after
+        if not at:
+            return -np.inf, ()
+        weight, chain = max(at.values(), key=lambda x: x[0])
+        out = []
+        while chain:
+            chain, y = chain
+            out.append(y)
+        return weight, tuple(reversed(out))
+
+
+def negation(w: dict[str, float]) -> Transducer:
+    """The state counts the words that are still governed."""
+    after = lambda k, x: SCOPE if x == N else 0 if x == B else max(0, k - 1)
+    return Transducer(0, {(k, x): [(x + "-", w["-"], after(k, x)) if k and x in (I, V) else (x, 0.0, after(k, x))] for k in range(SCOPE + 1) for x in CLASSES})
+
+
+def target(w: dict[str, float]) -> Transducer:
+    """The state: whether a target was met, words for which a threat can still reach one, whether that is denied."""
+    arcs: dict = {}
+    for met in (False, True):
+        for wait, denied in [(0, False), *((k, d) for k in range(1, REACH + 1) for d in (False, True))]:
+            on = (met, wait - 1, denied and wait > 1) if wait else (met, 0, False)
+            here = met, wait, denied
+            for x in (N, R, O):
+                arcs[here, x] = [(x, 0.0, on)]
+            arcs[here, I] = [(I + "a", w["a"], on) if met else (I, 0.0, on)]
+            arcs[here, I + "-"] = [(I + "-", 0.0, on)]
+            for x in (V, V + "-"):
+                arcs[here, x] = [(x, 0.0, (met, REACH, x != V))]
+            arcs[here, T] = [(("H-", 0.0) if denied else ("H", w["H"])) + ((True, 0, False),)] if wait else [(T, 0.0, (True, 0, False))]
+            arcs[here, B] = [(B, 0.0, (met, 0, False))]
+    return Transducer((False, 0, False), arcs)
+
+
+def reported(w: dict[str, float]) -> Transducer:
+    said = [I, I + "a", I + "-", V, V + "-", "H", "H-"]
+    plain = [T, N, O, B]
+    arcs = {(s, x): [(x, 0.0, s)] for s in (0, 1) for x in plain} | {(s, R): [(R, 0.0, 1)] for s in (0, 1)}
+    return Transducer(0, arcs | {(0, x): [(x, 0.0, 0)] for x in said} | {(1, x): [(x + "r", 0.0 if x[0] == V else w["r"], 1)] for x in said})
+
+
+def grammar(w: dict[str, float]) -> Transducer:
+    return negation(w).compose(target(w)).compose(reported(w))
 
 
 class ToxicityModel:
-    """Fitted state: a word list with weights and a curve."""
+    """Fitted state: words and marks with their weights, and a curve."""
 
     def __init__(self, most_learned: int = 256):
         self.most, self.prior = most_learned, 0.1
         self.words = {w: 1.0 for w in INSULTS}
         self.stems: dict[str, float] = {}
+        self.marks = dict(MARKS)
         self.curve: Logistic | None = None
 
     def learn(self, rows: list[tuple[str, int]]) -> ToxicityModel:
@@ -135,33 +175,53 @@ class ToxicityModel:
         self.stems = {w: x for w, x in stems.items() if len(ways.get(w, ())) >= 5}
         # a listed word that the labels don't bear out keeps little weight
         self.words = {w: (1.0 if seen[w] < 5 else 0.2) for w in INSULTS} | learned
+        self._weigh(lexicon)
         x = self.features([t for t, _ in fit])
         if len(fit) and 0 < sum(y for _, y in fit) < len(fit):
             self.curve = Logistic().fit(x, np.array([y for _, y in fit]))
         return self
 
+    def _weigh(self, rows: list[tuple[str, int]]) -> None:
+        """Weights of the marks, from what documents with each of them are labelled."""
+        found: dict[str, list[int]] = {m: [0, 0] for m in ("", *MARKS)}
+        for text, y in rows:
+            out = {o for c in self.clauses(text, every=True) for o in c[4]}
+            for m in {m for o in out for m in o[1:] or ([o] if o == "H" else [""] if o == I else []) if m in found}:
+                found[m][y] += 1
+        odds = {m: np.log((b + 0.5) / (a + 0.5)) for m, (a, b) in found.items()}
+        self.marks = {m: float((sum(found[m]) * (odds[m] - odds[""]) + TRUST * w) / (sum(found[m]) + TRUST)) for m, w in MARKS.items()}
+        self.__dict__.pop("_classes", None)
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_classes", "_find")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_classes", "_find", "_machine")}
 
     def _ready(self) -> None:
         if hasattr(self, "_classes"):
             return
         import ahocorasick
 
-        self._classes = {**{w: (T, 0.0) for w in TARGETS}, **{w: (N, 0.0) for w in NEGATIONS}, **{w: (R, 0.0) for w in REPORTS}, **{w: (V, 0.0) for w in THREATS}, **{w: (I, x) for w, x in self.words.items()}}
+        kinds = ((BREAKS, B), (TARGETS, T), (NEGATIONS, N), (REPORTS, R))
+        self._classes = {w: [(c, 0.0)] for words, c in kinds for w in words} | {w: [(V, 0.0), (O, 0.0)] for w in THREATS} | {w: [(I, x), (O, 0.0)] for w, x in self.words.items()}
+        self._machine = grammar(self.marks)
         self._find = ahocorasick.Automaton()
         for w in {*self.words, *THREATS, *self.stems}:
             self._find.add_word(w, len(w))
         self._find.make_automaton()
 
-    def _class(self, word: str) -> tuple[str, float]:
+    def read(self, word: str) -> list[tuple[str, float]]:
+        """The (class, weight) readings of a lower-case word; apostrophes don't count."""
+        word = word.replace("'", "").replace("\u2019", "")
         found = self._classes.get(word)
         if not found:
-            found = max(((I, self.stems[word[:k]]) for k in (4, 5, 6, 7) if word[:k] in self.stems), default=(O, 0.0))
+            stem = max((self.stems[word[:k]] for k in (4, 5, 6, 7) if word[:k] in self.stems), default=None)
+            found = [(O, 0.0)] if stem is None else [(I, stem), (O, 0.0)]
         return found
 
-    def clauses(self, text: str) -> list[tuple[int, int, float, float]]:
-        """(start, end, insult, threat) of the matched clauses of the lower-cased text."""
+    def clauses(self, text: str, every: bool = False) -> list[tuple[int, int, float, bool, tuple[str, ...]]]:
+        """(start, end, weight, whether a threat hits, path) of the matched clauses of the lower-cased text.
+
+        every: insults and threats are read as such whatever that weighs.
+        """
         self._ready()
         low, out, until = text.lower(), [], -1
         for end, n in self._find.iter(low):
@@ -171,20 +231,20 @@ class ToxicityModel:
             begin = max(low.rfind(c, 0, a) for c in ".!?;:,\n") + 1
             stop = CLAUSE.search(low, b)
             until = stop.start() if stop else len(low)
-            walked = [self._class(w) for w in WORD.findall(low, begin, until)]
-            insult, threat, _, _ = clause_weight(walked)
-            out.append((begin, until, insult, threat))
+            words = [self.read(w) for w in WORD.findall(low, begin, until)]
+            weight, path = self._machine.best([w[:1] for w in words] if every else words)
+            out.append((begin, until, weight, any(y[0] == "H" and "-" not in y for y in path), path))
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), 6))
         for i, t in enumerate(texts):
-            c = self.clauses(t)
+            c = [x for x in self.clauses(t) if x[2] > 0]
             if not c:
                 continue
             w = [x[2] for x in c]
             total = sum(w)
-            out[i] = [1.0, np.log1p(total), max(w), np.log1p(len(c)), sum(x[3] for x in c) > 0, np.log1p(1000 * total / (len(t) + 200))]
+            out[i] = [1.0, np.log1p(total), max(w), np.log1p(len(c)), any(x[3] for x in c), np.log1p(1000 * total / (len(t) + 200))]
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -199,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and n_clauses of docs(doc_id, text)."""
+    """doc_id, score of docs(doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -369,10 +369,85 @@ def test_classifiers_on_odd_rows(spark, docs, odd, none, sf):
 
 
 def test_grammar():
-    weigh = lambda *c: toxicity.clause_weight([(x, 1.0) for x in c])[0]
-    plain, aimed, negated, quoted = weigh("O", "I"), weigh("T", "O", "I"), weigh("T", "N", "I"), weigh("R", "T", "I")
-    assert aimed > plain > negated and aimed > quoted
-    assert toxicity.clause_weight([("V", 0.0), ("T", 0.0)])[1] > toxicity.clause_weight([("V", 0.0)])[1] > 0
+    m = toxicity.ToxicityModel()
+    m.words = {w: 6.0 for w in toxicity.INSULTS}
+    weigh = lambda t: sum(c[2] for c in m.clauses(t))
+    hits = lambda t: any(c[3] for c in m.clauses(t))
+    assert weigh("you are an idiot") > weigh("what an idiot") > weigh("he said you are an idiot") > 0
+    for denied in ("you are not an idiot", "You aren't an idiot", "you arent an idiot", "you aren\u2019t stupid or pathetic", "no idiot", "nobody is an idiot"):
+        assert weigh(denied) == 0
+    assert weigh("not bad, but you are a moron") == weigh("not bad but you are a moron") > 6
+    assert hits("I will kill you") and hits("kill them all") and weigh("I will kill you") == toxicity.MARKS["H"]
+    for mild in ("I don't want to kill you", "I will not ever kill you", "I would never hurt you", "kill time", "kill"):
+        assert not hits(mild) and weigh(mild) == 0
+    assert 0 < weigh("she said she will kill him") < weigh("she will kill him")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("IVTNRBO"), max_size=6))
+def test_the_composed_grammar_is_its_parts_in_turn(classes):
+    """The best path against all paths of the parts, run one after the other."""
+    w = {"a": 0.7, "H": 3.0, "-": -5.0, "r": -1.5}
+    words = [[(c, 2.0), ("O", 0.0)] if c in "IV" else [(c, 0.0)] for c in classes]
+
+    def every(part, state, symbols):
+        if not symbols:
+            yield 0.0, ()
+        else:
+            for y, v, s in part.arcs[state, symbols[0]]:
+                for u, out in every(part, s, symbols[1:]):
+                    yield u + v, (y, *out)
+
+    paths = [(0.0, ())]
+    for readings in words:
+        paths = [(u + v, (*out, x)) for u, out in paths for x, v in readings]
+    for part in (toxicity.negation(w), toxicity.target(w), toxicity.reported(w)):
+        paths = [(u + v, z) for u, out in paths for v, z in every(part, part.start, out)]
+    weight, path = toxicity.grammar(w).best(words)
+    assert weight == pytest.approx(max(u for u, _ in paths)) and any(p == path and u == pytest.approx(weight) for u, p in paths)
+
+
+def test_scores_are_the_curve_of_the_features(spark, docs, sf):
+    """Both classifiers, scored plainly from their fitted parts."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    tox, good = toxicity.fit(docs, labels), quality.fit(docs, labels)
+    for model, got, plain in ((tox, toxicity.score(docs, tox), lambda t: plain_toxicity(tox, t)), (good, quality.score(docs, good), lambda t: plain_quality(good, t))):
+        want = dict((d, plain(t)) for d, t in texts(docs))
+        assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) for r in got.collect())
+
+
+def sigmoid(curve, x):
+    z = curve.w[0] + sum(w * (v - m) / s for w, v, m, s in zip(curve.w[1:], x, curve.mean, curve.scale))
+    return 1 / (1 + np.exp(-z))
+
+
+def plain_toxicity(m, text):
+    """Clauses by a split of the whole text, each walked, whether a word of the lists is in it or not."""
+    m._ready()
+    found = []
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        words = [m.read(w) for w in toxicity.WORD.findall(clause)]
+        if any(r[0][0] in "IV" for r in words):
+            weight, path = m._machine.best(words)
+            if weight > 0:
+                found.append((weight, any(y in ("H", "Hr") for y in path)))
+    if not found:
+        return sigmoid(m.curve, [0] * 6)
+    w = [x for x, _ in found]
+    return sigmoid(m.curve, [1, np.log1p(sum(w)), max(w), np.log1p(len(w)), any(h for _, h in found), np.log1p(1000 * sum(w) / (len(text) + 200))])
+
+
+def plain_quality(m, text):
+    import zstandard
+
+    data, sizes = text.encode(), []
+    for d in (m.good, m.bad):
+        c = zstandard.ZstdCompressor(level=m.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(data[i : i + m.block])) for i in range(0, len(data), m.block)))
+    if not data:
+        return sigmoid(m.curve, [0] * 4)
+    dense = np.log(min(sizes) / len(data))
+    return sigmoid(m.curve, [(sizes[1] - sizes[0]) / sum(sizes), dense, dense * dense, np.log(len(data))])
 
 
 # 7
