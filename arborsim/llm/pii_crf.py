@@ -12,11 +12,12 @@ stands. Loopy sum-product messages run until they settle and make labels agree.
 run of a region's tokens whose marginals for a kind reach ``THRESHOLD`` is added as a span of that kind.
 
 Weights are trained by pseudo-likelihood on the tokens of at most about ``max_docs`` documents, those of the least
-hashes of their id. The teacher is the base rules and an assignment rule for secrets (a key's name, ``=`` or
-``:``, the key), of which the field doesn't see all: a part of the documents is read with the words around hidden,
-and each case comes again with loose copies of some of its spans, as no rule would find them, labelled as what
-they copy, and with made-up decoys of the same form, labelled none. So shape and context teach the kinds, and
-agreement with a distant like token is all that tells a loose copy from a decoy.
+hashes of their id. The teacher is the base rules and two rules for secrets (a key assigned to a name that says so,
+and keys of well-known forms), of which the field doesn't see all: a part of the documents is read with the words
+around hidden, and each case comes again with what no rule would find, labelled all the same: loose copies of its
+spans, spans run together, of which the rules make one and drop it, and made-up decoys of these forms, labelled
+none. So shape and context teach the kinds, and agreement with a distant like token is all that tells a loose copy
+from a decoy.
 
 Null and empty texts have no spans. Very long texts are scanned whole, in time linear in their length; a
 document's field is as large as its regions. Repeated rows and clashing column names don't matter.
@@ -49,9 +50,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[+(]?[0-9](?:[0-9]|[ ().\-/](?=[ ().\-/]{0,2}[0-9(]))*")
 _AT = re.compile(r"\(at\)|\[at\]| at ")
 _HOST = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]+)+")
-#: A key: 20 characters or more, letters and digits among them.
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+#: A key: 12 characters or more, letters and digits among them.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+")
 _ASSIGNED = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)[\"']? ?[=:] ?[\"']?$")
+#: How well-known services' keys begin.
+_KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|sk_live_[0-9A-Za-z]{16,}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _TOKEN = re.compile(r"\S+")
 _WORDS = re.compile(r"\w[\w-]*")
@@ -136,7 +139,7 @@ def keys(piece: str) -> list[str]:
     low = re.sub(r" ?[\[(]at[\])] ?| at ", "@", piece.lower())
     if "@" in low:
         return ["m:" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", low)]
-    if _is_key(piece) and len(piece) >= 20:
+    if _is_key(piece) and " " not in piece:
         return ["k:" + low]
     digits = "".join(_DIGIT.findall(piece))
     dots = ["i:" + piece] if piece.count(".") == 3 else []
@@ -180,15 +183,20 @@ CUES = (
 def observe(text: str, a: int, b: int, area: tuple[int, int, int] | None = None) -> np.ndarray:
     """Binary features of a token, of its region's form and of the words before that, without the rules' own verdicts."""
     own, piece = text[a:b], text[area[0] : area[1]] if area else ""
-    n = len(_DIGIT.findall(piece))
+    inner = text[max(a, area[0]) : min(b, area[1])] if area else ""
+    digits = _DIGIT.findall(piece)
+    mine = _DIGIT.findall(inner)
+    n, m = len(digits), len(mine)
     start = area[0] if area else a
     before = text[max(0, start - 40) : start].lower()
     words = set(_WORDS.findall(before)[-3:])
-    key = len(piece) >= 20 and " " not in piece and _is_key(piece)
+    key = _is_key(piece) and " " not in piece and "@" not in piece and len(piece) >= 12
+    run = bool(area) and not key and n > 0
     return np.array([
-        1, not area, not area and any(c.isdigit() for c in own), bool(area) and any(c.isdigit() for c in own), bool(area) and n == 0, 7 <= n <= 9 and not key, 10 <= n <= 11 and not key, 12 <= n <= 15 and not key, n >= 16 and not key,
-        piece.count(".") == 3, "." in piece, " " in piece, "-" in piece, "(" in piece, piece[:1] == "+", "@" in piece, any(c.isalpha() for c in piece) and not key, not key and 12 <= n <= 19 and luhn("".join(_DIGIT.findall(piece))),
-        key, key and len(piece) >= 32, key and bool(_HEX.fullmatch(piece)), before.rstrip("\"' ")[-1:] in ("=", ":"), *(bool(words & c) for c in CUES),
+        1, not area, not area and any(c.isdigit() for c in own), run, bool(area) and n == 0, run and n <= 9, run and 10 <= n <= 11, run and 12 <= n <= 15, run and 16 <= n <= 19, run and n > 19,
+        piece.count(".") == 3, "." in piece, " " in piece, "-" in piece, "(" in piece, piece[:1] == "+", "@" in piece, any(c.isalpha() for c in piece) and not key, run and 12 <= n <= 19 and luhn("".join(digits)),
+        run and inner[:1] == "+", run and inner[:1] == "(", run and m <= 3, run and 4 <= m <= 8, run and 9 <= m <= 11, run and 12 <= m <= 19, run and 12 <= m <= 19 and luhn("".join(mine)), run and inner.count(".") == 3, run and "-" in inner,
+        key, key and len(piece) >= 18, key and len(piece) >= 32, key and bool(_HEX.fullmatch(piece)), key and piece.upper() == piece, key and bool(_KNOWN.fullmatch(piece)), before.rstrip("\"' ")[-1:] in ("=", ":"), *(bool(words & c) for c in CUES),
     ], float)
 
 
@@ -219,7 +227,7 @@ class SkipChainCRF:
         k = len(KINDS) + 1
         self.unary, self.chain, self.skip = np.zeros((k, len(observe("", 0, 0)))), np.zeros((k, k)), np.eye(k) * 2.0
 
-    def train(self, docs: list[tuple[list[list[float]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 300, rate: float = 0.04) -> SkipChainCRF:
+    def train(self, docs: list[tuple[list[list[float]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 250, rate: float = 0.06) -> SkipChainCRF:
         """Pseudo-likelihood: each labelled token given its features and its neighbours' labels (-1: unlabelled).
 
         Of a hub, a token sees the shares of the labels of the hub's other tokens.
@@ -251,7 +259,7 @@ class SkipChainCRF:
         x, y = np.concatenate([np.array(x), np.array(chain), np.array(skip)], 1), np.eye(k)[y]
         f = x.shape[1] - 2 * k
         w = np.concatenate([self.unary.T, self.chain, self.skip])
-        rest, decay = w.copy(), np.concatenate([np.full(f, 2e-4), np.full(2 * k, 1e-3)])[:, None]
+        rest, decay = w.copy(), np.concatenate([np.full(f, 2e-5), np.full(2 * k, 2e-4)])[:, None]
         first, second = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
             z = x @ w
@@ -325,6 +333,8 @@ class SkipChainCRF:
             else:
                 more.append((a, k, b))
             last = (r, k)
+        # a part of a region is a span of its own only if it holds a digit
+        more = [(a, k, b) for a, k, b in more if _DIGIT.search(text[a:b]) or any(x == a and y == b for x, y, _ in areas)]
         return base, sorted(base + more)
 
 
@@ -338,8 +348,9 @@ def _features(text: str, areas: list[tuple[int, int, int]], at: list[tuple[int,
 
 
 def _secrets(text: str, areas: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The regions with the teacher's verdict on keys: a secret where one is assigned to a name that says so."""
-    return [(a, b, 4 if k < 0 and _ASSIGNED.search(text[max(0, a - 40) : a]) and _is_key(text[a:b]) else k) for a, b, k in areas]
+    """The regions with the teacher's verdict on keys: a secret where a name that says so has it, or by its form."""
+    secret = lambda a, b: _is_key(text[a:b]) and (_ASSIGNED.search(text[max(0, a - 40) : a]) or _KNOWN.fullmatch(text[a:b]))
+    return [(a, b, 4 if k < 0 and secret(a, b) else k) for a, b, k in areas]
 
 
 def _loose(kind: int, piece: str, pick) -> str:
@@ -358,7 +369,10 @@ def _loose(kind: int, piece: str, pick) -> str:
 
 
 def _decoy(kind: int, piece: str, pick) -> str:
-    """Something of the same form that nothing resembles."""
+    """Something of the same form that nothing resembles; of a key, one without a name and of no known form."""
+    if kind == 4:
+        letters = "0123456789abcdef" if _HEX.fullmatch(piece) else "abcdefghijklmnopqrstuvwxyz0123456789"
+        return "".join(pick.choice(letters) for _ in piece[:-2]) + "a1"
     other = "".join(str(pick.randint(0, 9)) if c.isdigit() else c for c in piece)
     return _loose(kind, other if kind else "nobody" + other, pick)
 
@@ -366,40 +380,53 @@ def _decoy(kind: int, piece: str, pick) -> str:
 def example(text: str, seed: int = 0):
     """Training cases of a text: (features, labels, chain, skip) each; labels are -1 for tokens that are left out.
 
-    The text as it is, and with loose copies and decoys at its end. Every third is read without its context.
+    The text as it is, and with loose copies, spans run together and decoys at its end. Every third is read
+    without its context.
     """
     import random
 
     pick, out = random.Random(seed), []
-    base = base_spans(text)
-    judged = _secrets(text, regions(text, base))
-    made: list[tuple[int, int]] = []  # where loose copies (label) and decoys (0) begin
-    longer = text
-    for a, b, k in judged[:20] if any(k >= 0 for _, _, k in judged) else []:
-        if k >= 0 and not any(j != k and x < b and y > a for x, y, j in judged):
-            for label, write in ((k + 1, _loose), (0, _decoy)):
-                longer += " und so weiter, "
-                made.append((len(longer), label))
-                longer += write(k, text[a:b], pick) + " . "
+    judged = _secrets(text, regions(text, base_spans(text)))
+    whole = [(k, text[a:b]) for a, b, k in judged if k >= 0 and not any(j != k and x < b and y > a for x, y, j in judged)]
+    longer, made = text, []  # where each made-up span begins and ends, and its label
+
+    def put(*parts: tuple[int, str]) -> None:
+        nonlocal longer
+        longer += " und so weiter,"
+        for label, piece in parts:
+            made.append((len(longer) + 1, len(longer) + 1 + len(piece), label))
+            longer += " " + piece
+        longer += " ."
+
+    for k, piece in whole[:20]:
+        put((k + 1, _loose(k, piece, pick)))
+        put((0, _decoy(k, piece, pick)))
+        if 1 <= k <= 3:
+            j, other = pick.choice([(j, p) for j, p in whole if 1 <= j <= 3])
+            new = lambda x: "".join(str(pick.randint(0, 9)) if c.isdigit() else c for c in x)
+            # of the same shape but not alike, so that shape must tell; a card's digits make it one
+            put((k + 1, piece if k in (1, 2) else new(piece)), (j + 1, other if j in (1, 2) else new(other)))
+            put((k + 1, piece if k in (1, 2) else new(piece)), (0, "".join(str(pick.randint(0, 9)) for _ in range(pick.randint(3, 9)))))
     for body in (text, longer) if made else (text,):
-        spans = base_spans(body)
-        areas = regions(body, spans)
+        areas = regions(body, base_spans(body))
         if not areas:
             continue
         judged = _secrets(body, areas)
         at = tokens(body, areas)
         sure = {k for a, b, kind in judged if kind >= 0 for k in keys(body[a:b])}
-        starts, labels = [a for a, _ in made], []
-        for a, _, r in at:
-            i = bisect_right(starts, a) - 1 if body is longer and made else -1
-            if r < 0:
+        starts, labels = [a for a, _, _ in made], []
+        for a, b, r in at:
+            i = bisect_right(starts, a) - 1
+            told = [label for x, y, label in made[max(0, i) : i + 2] if x < b and y > a]
+            if body is longer and r >= 0 and told:
+                labels.append(told[0])
+            elif r < 0:
                 labels.append(0)
             elif judged[r][2] >= 0:
                 labels.append(judged[r][2] + 1)
-            elif i >= 0:
-                labels.append(made[i][1])
-            else:
-                labels.append(-1 if sure & set(keys(body[areas[r][0] : areas[r][1]])) else 0)
+            else:  # the rules know little of what resembles their spans, and of long runs, which may hold several
+                piece = body[areas[r][0] : areas[r][1]]
+                labels.append(-1 if sure & set(keys(piece)) or len(_DIGIT.findall(piece)) >= 12 and not _is_key(piece) else 0)
         x = _features(body, areas, at)
         if pick.random() < 1 / 3:
             x[:, -AROUND_FEATURES:] = 0

@@ -163,13 +163,17 @@ def test_skip_links_are_agreement_only(spark):
 
 
 def test_secrets_of_the_table(spark):
+    """All of them, and beside them only cards that stand side by side, of which the rules make one and drop it."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model, planted, found = pii_crf.fit(docs), set(), set()
+    model, planted, found, cards = pii_crf.fit(docs), set(), set(), []
     for d, t in texts(docs):
         planted |= {(d, m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
         base, every = model.spans(t)
-        found |= {(d, a, b) for a, k, b in every if (a, k, b) not in base}
+        more = [s for s in every if s not in base]
+        found |= {(d, a, b) for a, k, b in more if k == 4}
+        cards += [t[a:b] for a, k, b in more if k != 4]
     assert planted and found == planted
+    assert all(12 <= len(n) <= 19 and pii_crf.luhn(n) for c in cards for n in c.split())
 
 
 @settings(max_examples=60, deadline=None)
