@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,10 +84,10 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, by: Column | None =
     table. Keys are counted in ``counted`` (left if None), a table too. Only the hot keys, fewer than HOT_SHARE,
     are collected and broadcast.
     """
-    counts = (left if counted is None else counted).groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("_all"))
-    hot = counts.join(F.broadcast(total)).where((F.col("count") * HOT_SHARE > F.col("_all")) & F.col(key).isNotNull())
-    hot = hot.select(key, F.ceil(F.col("count") * HOT_SHARE / F.col("_all")).alias("n")).collect()
+    counted = left if counted is None else counted
+    total = counted.count()
+    hot = counted.groupBy(key).count().where((F.col("count") * HOT_SHARE > total) & F.col(key).isNotNull()).collect()
+    hot = [(k, -(-n * HOT_SHARE // total)) for k, n in hot]
     if not hot:
         return left.join(right, key, how)
     part, parts = unused(left, "_part", "_parts")
@@ -111,6 +112,44 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Columns that ``located`` adds.
+PLACE = "_file", "_row", "_spot"
+
+
+def located(docs: DataFrame, what: str, names: Sequence[str] = PLACE) -> DataFrame:
+    """docs with three longs, named so: a hash of the row's file, its number there, and a hash of file name and number.
+
+    The first two tell rows apart; the third is the same wherever the files lie and whoever wrote them, as Spark's
+    part files count by their numbers alone. A DataFrame that isn't a plain read of Parquet files is written to the
+    shared folder first.
+    """
+    if not _plain_read(docs):
+        docs = materialise(docs, what)
+    meta = docs.metadataColumn("_metadata")
+    part = F.regexp_replace(meta["file_name"], "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    own = F.xxhash64(meta["file_path"]), meta["row_index"], F.xxhash64(part, meta["row_index"])
+    return docs.select(*docs.columns, *(c.alias(n) for c, n in zip(own, names)))
+
+
+def _plain_read(df: DataFrame) -> bool:
+    """Whether each row of df is a row of a Parquet file of its own: a read, and columns and rows chosen from it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and "parquet" in node.toString().lower()
+
+
+def spread(rows: DataFrame, total: int, seed: int, by: list[str], spot: str) -> Column:
+    """A long that looks uniform: a hash of the columns ``by``; of those and of ``spot`` where rows equal in ``by`` are many.
+
+    Many is two, and more than 1 / HOT_SHARE of all rows: there are fewer than HOT_SHARE such groups, and they are collected.
+    Equal rows then aren't one bucket's; their places depend on which files of the table they are in.
+    """
+    equal = F.xxhash64(F.lit(seed), *by)
+    hot = [r[0] for r in rows.groupBy(equal.alias("_h")).count().where((F.col("count") > 1) & (F.col("count") * HOT_SHARE > total)).collect()]
+    return F.when(equal.isin(hot), F.xxhash64(F.lit(seed), *by, spot)).otherwise(equal) if hot else equal
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -120,18 +159,22 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 17) -> list[tuple[str, int]]:
-    """(text, label) of at most about max_rows labelled documents, none of them held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = 256 << 20, seed: int = 17) -> list[tuple[str, int]]:
+    """(text, label) of at most ``max_rows`` labelled documents, none of them held out, in the order of a hash of their id.
 
-    Rows are taken by a hash of their id, so the choice doesn't depend on partitioning. Only the ids of
-    the sample (at most 1.2 * max_rows of them) are broadcast; only the sample's texts reach the driver.
+    The choice doesn't depend on partitioning. Only the ids of the sample (at most max_rows) are broadcast; only the
+    sample's texts reach the driver, one for each id (the least of several), and no more after ``max_bytes`` of them.
     """
     usable = labels.where((fold(F.col("doc_id")) != 1) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
-    total = usable.count()
-    share = min(1.0, max_rows / max(total, 1))
-    u = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000))
-    sample = usable.where(u < int(share * 1_000_000) + (share == 1.0)).groupBy("_id").agg(F.max("_y").alias("_y")).limit(int(1.2 * max_rows))
-    got = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(sample), "_id").select("_id", "_t", "_y").toLocalIterator()
-    rows = sorted((r["_id"], r["_t"] or "", r["_y"]) for r in got)
-    return [(t, y) for _, t, y in rows]
+    share = min(1.0, 1.1 * max_rows / max(usable.count(), 1))
+    u = F.xxhash64(F.lit(seed), "_id")
+    sample = usable.where(F.pmod(u, F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_u", u).orderBy("_u", "_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(sample), "_id")
+    rows, held = [], 0
+    for r in texts.groupBy("_u", "_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_u", "_id").toLocalIterator():
+        rows.append((r["_t"], r["_y"]))
+        held += len(r["_t"].encode())
+        if held > max_bytes:
+            break
+    return rows

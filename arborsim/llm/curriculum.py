@@ -11,7 +11,8 @@ most half a document.
 
 The running word count of a source is a sum over small hash buckets plus a sum within one, so a source with a
 third of all rows is dealt over many tasks. A null source is one source, last by order; null and empty texts
-have no words and are never taken; repeated rows are separate rows; empty tables give no rows.
+have no words and are never taken; repeated rows are separate rows, and where many rows are equal in id and text
+they are dealt over all buckets; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -91,39 +92,34 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
 SEED = 23
 
 
-def _size() -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def _key() -> Column:
-    return F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
 def weigh(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and _shuffle of docs(doc_id, text, source)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _size().alias("size"), _key().alias("_shuffle"))
+    """doc_id, source, size, where the row lies (common.PLACE) and _shuffle of docs(doc_id, text, source, PLACE), written to the shared folder."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("text").alias("_text"), *reversed(common.PLACE))
+    rows = common.materialise(rows, "mix-rows")
+    return rows.withColumn("_shuffle", common.spread(rows, rows.count(), SEED, ["doc_id", "_text"], "_spot")).drop("_text")
 
 
 def schedule(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """One row for each copy that the mix takes: the columns of docs, range-sorted by training time.
 
-    The texts are shuffled twice, by document and by time; everything else works on narrow rows. A row that
-    repeats another in doc_id, source and text gives its copies in that row's name.
+    The texts are shuffled twice, by row and by time; everything else works on narrow rows.
     """
     n = partitions or common.shuffle_partitions(docs.sparkSession)
-    rows = common.materialise(weigh(docs), "mix-rows")
-    time, *keys = common.unused(docs, "_time", "_d", "_c", "_k")
-    own = common.unused(docs, "_d2", "_c2", "_k2")
-    taken = mix(rows, **options).select(F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("_shuffle").alias(keys[2]), F.explode("times").alias(time))
-    texts = docs.select(*docs.columns, F.col("doc_id").cast("long").alias(own[0]), F.col("source").cast("string").alias(own[1]), _key().alias(own[2])).dropDuplicates(own)
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, own)]
-    both = taken.join(texts, same[0] & same[1] & same[2]).select(time, keys[2], *docs.columns)
-    return both.repartitionByRange(n, time, keys[2]).sortWithinPartitions(time, keys[2]).select(*docs.columns)
+    plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = common.located(plain, "mix-documents")
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    narrow = weigh(rows.select(*(F.col(own[c]).alias(c) for c in ("doc_id", "text", "source")), *common.PLACE))
+    taken = mix(narrow, **options).select(F.col("_file").alias("_f"), F.col("_row").alias("_r"), "_shuffle", F.posexplode("times").alias("_copy", "_time"))
+    both = rows.join(taken, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")))
+    order = ["_time", "_shuffle", "_copy", "_file", "_row"]
+    return both.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(F.col(k).alias(c) for c, k in own.items()))
 
 
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with what the mix takes of it; rows that aren't taken come last, in shuffled order."""
-    out = mix(common.materialise(weigh(common.table(spark, sf_dir, "documents")), "mix-rows")).withColumn("position", F.get("times", F.lit(0)))
+    docs = common.located(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "mix-documents")
+    out = mix(weigh(docs)).withColumn("position", F.get("times", F.lit(0)))
     late = F.coalesce("position", 1 + F.pmod("_shuffle", F.lit(1 << 30)) / float(1 << 30))
-    out = out.withColumn("_late", late).repartitionByRange(common.shuffle_partitions(spark), "_late").sortWithinPartitions("_late")
+    out = out.withColumn("_late", late).repartitionByRange(common.shuffle_partitions(spark), "_late", "_shuffle").sortWithinPartitions("_late", "_shuffle")
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source")

@@ -2,13 +2,15 @@
 
 A text is cut into blocks, each compressed with either dictionary; the difference of the summed sizes, divided
 by their sum, says which kind of text it resembles. A logistic curve fitted on labelled rows turns that into a
-probability; beside the difference it sees how dense the smaller size is (text that repeats itself compresses
-alike with any dictionary) and the length. Blocks are short, so the dictionary and not the text's own history decides in long texts too.
-
-The fit uses at most about ``max_rows`` labelled rows (never held-out ones), chosen by a hash of their id: part
-trains the dictionaries, the rest the curve. Null and empty texts score as all four being 0. With no labels, or
-one class only, all scores are that class's share (1/2 without any). Repeated rows and clashing column names
-don't matter: only doc_id and text are read.
+probability; beside the difference it sees how dense the smaller size is, as text that repeats itself compresses
+alike with any dictionary. Blocks are short, so the dictionary and not the text's own history decides in long
+texts too.
+
+The fit uses at most ``max_rows`` labelled rows (never held-out ones), those of the least hashes of their id: part
+trains the dictionaries, the rest the curve. Where samples are too few to train a dictionary, all of them, joined,
+are the dictionary. Null and empty texts score as all figures being 0. With no labels, or one class only, all
+scores are that class's share (1/2 without any). Ties score alike; repeated rows and clashing column names don't
+matter: only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -61,8 +63,8 @@ class CompressionClassifier:
         samples = [b for t in texts for b in _blocks(t)]
         try:
             return zstandard.train_dictionary(DICT_BYTES, samples, k=256, d=6).as_bytes()
-        except zstandard.ZstdError:  # too few samples: the samples themselves are the dictionary
-            return b"".join(samples)[-DICT_BYTES:]
+        except zstandard.ZstdError:  # too few samples
+            return b"".join(samples)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         import zstandard
@@ -75,7 +77,7 @@ class CompressionClassifier:
                 made.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_dict_id=False).compress)
             self._coders = made
         good, bad = self._coders
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), 3))
         for i, t in enumerate(texts):
             a = b = 0
             for x in _blocks(t):
@@ -83,7 +85,7 @@ class CompressionClassifier:
                 b += len(bad(x))
             if t:
                 dense = np.log(min(a, b) / len(t))
-                out[i] = (b - a) / (a + b), dense, dense * dense, np.log(len(t))
+                out[i] = (b - a) / (a + b), dense, dense * dense
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:

@@ -6,8 +6,11 @@ sequence into equal runs gives shards that match the mixture and differ by one r
 
 Both rankings are distributed: rows are dealt to many small buckets of the hash (or of the fraction), counted
 for each bucket, and numbered within the bucket, so a source with a third of all rows is no task's burden.
-Equal texts aren't kept together: under this law they are rows like any other. A null source is a source of its
-own; null texts have no bytes; repeated rows are told apart by their order only; an empty table gives no rows.
+Equal texts aren't kept together: under this law they are rows like any other, and rows equal in id and text that
+are many are dealt over all buckets. A null source is a source of its own; null texts have no bytes; rows equal in
+id, source and text change places at most with each other; an empty table gives no rows.
+
+Places are found on narrow rows; the rows themselves are shuffled twice, to their places and to their shards.
 """
 
 from __future__ import annotations
@@ -71,17 +74,36 @@ def interleave(rows: DataFrame, source: str, shuffle: str, shards: int) -> DataF
     return placed.withColumn("_shard", shard.cast("long")).withColumn("slot", (pos - first).cast("long")).withColumn("shard", F.col("_shard").cast("int")).drop("_pos", "_shard", "_at")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, text_crc32, shard, slot of each row of docs(doc_id, text, source)."""
-    text = F.coalesce("text", F.lit(""))
-    narrow = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"),
-        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    narrow = narrow.withColumn("_shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
-    return interleave(common.materialise(narrow, "shard-rows"), "source", "_shuffle", shards).drop("_shuffle")
+def weigh(docs: DataFrame, seed: int = 11) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """docs with two columns that say where a row lies; its narrow rows (_doc, _source, _size, _crc, PLACE, _shuffle); the two columns."""
+    file, row, spot = common.unused(docs, *common.PLACE)
+    rows = common.located(docs, "shard-rows", (file, row, spot))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    narrow = common.materialise(rows.select(
+        F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), (F.octet_length(text) + 16).cast("long").alias("_size"),
+        F.crc32(text.cast("binary")).alias("_crc"), F.col(file).alias("_file"), F.col(row).alias("_row"), F.col(spot).alias("_spot"),
+    ), "shard-narrow")
+    shuffle = common.spread(narrow, narrow.count(), seed, ["_doc", "_crc", "_size"], "_spot")
+    return rows, narrow.withColumn("_shuffle", shuffle).select("_doc", "_source", "_size", "_crc", "_spot", "_file", "_row", "_shuffle"), (file, row)
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 11, partitions: int | None = None) -> DataFrame:
+    """docs, all its columns, with shard and slot (from 0 in each shard), range-shuffled by both.
+
+    docs must have doc_id, text and source; where it has a column shard or slot, the new one gets an underscore more.
+    """
+    rows, narrow, place = weigh(docs, seed)
+    shard, slot = common.unused(rows, "shard", "slot")
+    file, row = common.unused(rows, "_f", "_r")
+    at = interleave(narrow, "_source", "_shuffle", shards).select(F.col("_file").alias(file), F.col("_row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out = rows.join(at, (F.col(place[0]) == F.col(file)) & (F.col(place[1]) == F.col(row))).select(*docs.columns, shard, slot)
+    return out.repartitionByRange(partitions or common.shuffle_partitions(docs.sparkSession), shard, slot).sortWithinPartitions(shard, slot)
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
     out = shard_documents(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source",
+    )

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from arborsim.llm import curriculum, quality
-from tests.llm.test_operators import brute_groups, brute_hits, texts
+from tests.llm.test_operators import brute_groups, brute_hits, counted, texts, weighed
 
 
 def test_stages(spark, sf):
@@ -26,11 +26,13 @@ def test_stages(spark, sf):
 
     mixed = steps["mix"](spark, clean, sf)
     assert mixed.columns == docs.columns
-    want = curriculum.mix(curriculum.weigh(clean)).toPandas().set_index("doc_id")["copies"]
+    want = curriculum.mix(weighed(clean)).toPandas().set_index("doc_id")["copies"]
     got = mixed.toPandas().groupby("doc_id").size()
     assert (got.reindex(want.index).fillna(0) == want).all()
 
-    cut = steps["shard"](spark, mixed, sf).toPandas()
+    sharded = steps["shard"](spark, mixed, sf)
+    assert counted(map(tuple, sharded.select(docs.columns).collect())) == counted(map(tuple, mixed.collect()))
+    cut = sharded.toPandas()
     assert len(cut) == want.sum() and cut.groupby("shard").size().agg(lambda s: s.max() - s.min()) <= 1
 
 
@@ -63,3 +65,21 @@ def test_empty(spark, sf):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_odd_rows_through_every_stage(spark, sf):
+    """Null and repeated ids, null and empty texts, a very long one, names that the stages use themselves."""
+    said = " ".join(f"plain{i} word" for i in range(40))
+    rows = [(None, said, None), (None, None, "a"), (1, said, "a"), (1, said, "a"), (2, "", "a"), (3, None, None), (4, " ".join(f"w{i}" for i in range(20_000)), "b"), (5, "a few words only", "b")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, "y", 3.0) for r in rows], "doc_id long, text string, source string, shard int, _time string, _kept int, quality_score string, _at double").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        own = got.select(docs.columns).collect()
+        assert got.columns[: len(docs.columns)] == docs.columns and set(map(tuple, own)) <= set(map(tuple, docs.collect()))
+        assert len(got.columns) == len(docs.columns) + 2 * (name == "shard")
+        if name == "distinct":
+            assert counted(map(tuple, own)) == counted(map(tuple, [r for r in docs.collect() if r.doc_id != 1 and (r.doc_id, r.text) != (None, said)] + [r for r in docs.collect() if r.doc_id == 1][:1]))
+        if name == "decontaminate":
+            assert len(own) == len(rows)
+        if name == "shard":
+            assert len(own) == len(rows)
