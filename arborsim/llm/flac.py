@@ -6,8 +6,12 @@ with CRC-8 and CRC-16. The coder picks, for each frame, the shortest of a consta
 32, partitioned and escaped residuals, and every block size. Frames are independent, so the Rice codes of
 thousands of frames are decoded in step: one numpy operation handles one sample of each of them.
 
+Streams are written to a table in the shared folder and read back from it: as PCM blocks, one for each seek point
+with the offset of its first sample, each decoded from where the seek table says it begins.
+
 Null and empty texts store one padded block of spaces. Texts of any length are coded in frames of bounded
-size, at most ``LANES`` at a time. Repeated rows give repeated results; other columns are ignored.
+size, at most ``LANES`` at a time. Repeated rows and equal texts give equal results; empty tables give none; other
+columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -257,8 +261,8 @@ def _frame_head(data: bytes, at: int) -> tuple[int, int, int] | None:
 _HEADS: dict[bytes, tuple[int, int, int] | None] = {}
 
 
-def _split(data: bytes, at: int, number: int | None, samples: int) -> list[tuple[int, int, int, int]]:
-    """(header start, subframe start, end before the CRC-16, samples) of the frames from ``at`` on."""
+def _split(data: bytes, at: int, number: int, samples: int, stop: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(header start, subframe start, end before the CRC-16, samples) of the frames from ``at`` on, the last up to ``stop``."""
     found, left = [], samples
     here = at
     while left > 0:
@@ -268,12 +272,12 @@ def _split(data: bytes, at: int, number: int | None, samples: int) -> list[tuple
             head = _frame_head(data, here)
             if head and len(_HEADS) < 65536 and head[2] <= 7:
                 _HEADS[key[:7]] = head
-        if data[here : here + 2] != b"\xff\xf8" or not head or (number is not None and head[0] != number):
+        if data[here : here + 2] != b"\xff\xf8" or not head or head[0] != number:
             raise ValueError("damaged frame header")
         left -= head[1]
         number = head[0] + 1
         if left <= 0:
-            after = len(data)
+            after = len(data) if stop is None else stop
         else:
             after = data.find(b"\xff\xf8", here + head[2] + 3)
             while after > 0 and not ((h := _frame_head(data, after)) and h[0] == number):
@@ -434,43 +438,55 @@ def _decode(flat: np.ndarray, frames: list[tuple[int, int, int, int]]) -> list[b
     return out
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream; frame checksums and the stream's md5 are verified."""
+def _blocks(info: dict, length: int) -> list[tuple[int, int, int, int]]:
+    """(first sample, samples, start, end in the stream) of the stretches between seek points; all of it without any."""
+    points = [(p[0], info["frames"] + p[1]) for p in info["seek"] if p[0] < info["samples"]] or [(0, info["frames"])]
+    if points[0] != (0, info["frames"]):
+        points.insert(0, (0, info["frames"]))
+    ends = [*points[1:], (info["samples"], length)]
+    return [(a, c - a, b, d) for (a, b), (c, d) in zip(points, ends)]
+
+
+def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """(first sample, PCM) of the blocks of each stream, every one from its seek point; checksums and the md5 are verified."""
     if not streams:
         return []
     frames, counts, at, infos = [], [], 0, []
     for s in streams:
         info = metadata(s)
-        own = _split(s, info["frames"], 0, info["samples"])
-        frames += [(a + at, b + at, c + at, n) for a, b, c, n in own]
-        counts.append(len(own))
+        own = []
+        for sample, n, begin, end in _blocks(info, len(s)):
+            found = _split(s, begin, sample // info["block"], n, end)
+            frames += [(a + at, b + at, c + at, k) for a, b, c, k in found]
+            own.append((sample, len(found)))
+        counts.append(own)
         infos.append(info)
         at += len(s)
     pcm = iter(_decode(np.frombuffer(b"".join(streams), np.uint8), frames))
     out = []
-    for n, info in zip(counts, infos):
-        p = b"".join(next(pcm) for _ in range(n))
-        if hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest() != info["md5"]:
+    for own, info in zip(counts, infos):
+        made = [(sample, b"".join(next(pcm) for _ in range(n))) for sample, n in own]
+        if hashlib.md5((np.frombuffer(b"".join(p for _, p in made), np.uint8) ^ 128).tobytes()).digest() != info["md5"]:
             raise ValueError("the stream's md5 disagrees")
-        out.append(p)
+        out.append(made)
     return out
 
 
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream."""
+    return [b"".join(p for _, p in made) for made in decode_blocks(streams)]
+
+
 def read_samples(data: bytes, start: int, count: int) -> bytes:
-    """Samples start to start + count, decoding only from the seek point before them."""
+    """Samples start to start + count, decoding only the blocks that hold them."""
     info = metadata(data)
     count = max(0, min(count, info["samples"] - start))
+    need = [b for b in _blocks(info, len(data)) if b[0] < start + count and b[0] + b[1] > start]
     if not count:
         return b""
-    sample, offset, _ = max((p for p in info["seek"] if p[0] <= start), default=(0, 0, 0))
-    frames = _split(data, info["frames"] + offset, None, info["samples"] - sample)
-    need, had = [], sample
-    for f in frames:
-        if had < start + count:
-            need.append(f)
-        had += f[3]
-    pcm = b"".join(_decode(np.frombuffer(data, np.uint8), need))
-    return pcm[start - sample : start - sample + count]
+    frames = [f for sample, n, begin, end in need for f in _split(data, begin, sample // info["block"], n, end)]
+    pcm = b"".join(_decode(np.frombuffer(data, np.uint8), frames))
+    return pcm[start - need[0][0] :][:count]
 
 
 def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -486,7 +502,7 @@ def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def store(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def code(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with spaces to a multiple of 192, as a FLAC stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,7 +512,28 @@ def store(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 media = encode([x.ljust(max(PAD, -(-len(x) // PAD) * PAD), b" ") for x in raw], block)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(common.trimmed(run), "doc_id long, n_bytes long, media binary")
+
+
+def store(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The streams of ``code``, written under path (a new one in the shared folder if None) and read from there."""
+    spark = docs.sparkSession
+    path = path or common.scratch_path(spark, "flac-streams")
+    coded = code(docs, block)
+    coded.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    return spark.read.schema(coded.schema).parquet(path)
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """doc_id, block, sample, pcm: the PCM blocks of stored streams(doc_id, media) with the offset of their first sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _slices(batch):
+                rows = [(d, k, sample, p) for d, made in zip(some.column(0).to_pylist(), decode_blocks(some.column(1).to_pylist())) for k, (sample, p) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["doc_id", "block", "sample", "pcm"])
+
+    return media.select("doc_id", "media").mapInArrow(common.trimmed(run), "doc_id long, block int, sample long, pcm binary")
 
 
 def features(pcm: bytes) -> str:
@@ -514,10 +551,11 @@ def digest(media: DataFrame) -> DataFrame:
         for batch in batches:
             for some in _slices(batch.select([0, 2, 1])):
                 stored = some.column(1).to_pylist()
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p)) for m, p in zip(stored, decode(stored))]
+                read = ((m, b"".join(p for _, p in made)) for m, made in zip(stored, decode_blocks(stored)))
+                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p)) for m, p in read]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *(pa.array(c) for c in zip(*rows))], names=[x.split()[0] for x in schema.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(common.trimmed(run), schema)
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,14 +275,115 @@ def test_flac_kinds_of_frames():
         flac.decode([bytes(damaged)])
 
 
+class Written:
+    """A plain bit writer for frames of kinds that the coder doesn't make."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+    def rice(self, r, k):
+        u = (r << 1) ^ (r >> 63)
+        self.bits += "0" * (u >> k) + "1"
+        self.put(u, k)
+
+    def done(self):
+        return int(self.bits.ljust(-(-len(self.bits) // 8) * 8, "0"), 2).to_bytes(-(-len(self.bits) // 8), "big")
+
+
+def written_frame(x, number, kind, order, coef, shift, parts, method, escapes):
+    """A frame of the samples x: fixed or linear prediction, 2^parts partitions, some of them escaped."""
+    w = Written()
+    w.put((32 | order - 1 if kind == "lpc" else 8 | order) << 1, 8)
+    for v in x[:order]:
+        w.put(v, 8)
+    if kind == "lpc":
+        w.put(11, 4)
+        w.put(shift, 5)
+        for c in coef:
+            w.put(c, 12)
+    res = [x[t] - (sum(c * x[t - 1 - j] for j, c in enumerate(coef)) >> shift) for t in range(order, len(x))]
+    w.put(method, 2)
+    w.put(parts, 4)
+    step, at = len(x) >> parts, 0
+    for p in range(1 << parts):
+        own = res[at : at + step - (order if p == 0 else 0)]
+        at += len(own)
+        wide = 4 + method
+        if p in escapes:
+            raw = max((abs(r).bit_length() + 1 for r in own), default=0) if any(own) else 0
+            w.put((1 << wide) - 1, wide)
+            w.put(raw, 5)
+            for r in own:
+                w.put(r, raw)
+        else:
+            k = max(1, int(np.mean(np.abs(own) if own else [1])).bit_length())
+            w.put(k, wide)
+            for r in own:
+                w.rice(r, k)
+    body = flac._header(number, len(x)) + w.done()
+    crc = 0
+    for b in body:
+        crc ^= b << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return body + crc.to_bytes(2, "big")
+
+
+def test_flac_decodes_what_the_coder_never_makes():
+    import struct
+
+    rng = np.random.default_rng(7)
+    kinds = [("fixed", o, flac.FIXED[o], 0) for o in range(5)] + [("lpc", o, [int(c) for c in rng.integers(-900, 900, o)], int(rng.integers(8, 14))) for o in (1, 3, 8, 17, 32)]
+    for parts, method, escapes in ((0, 0, ()), (3, 0, ()), (2, 1, ()), (2, 0, (1, 3)), (3, 1, (0, 2)), (0, 1, (0,))):
+        frames, pcm = [], b""
+        for number, (kind, order, coef, shift) in enumerate(kinds):
+            x = [int(v) for v in np.clip(np.cumsum(rng.integers(-9, 10, 576)), -128, 127)]
+            if number % 2:
+                x[200:400] = [5] * 200
+            frames.append(written_frame(x, number, kind, order, coef, shift, parts, method, escapes))
+            pcm += bytes(v + 128 for v in x)
+        md5 = hashlib.md5((np.frombuffer(pcm, np.uint8) ^ 128).tobytes()).digest()
+        info = struct.pack(">HH", 576, 576) + bytes(6) + (8000 << 44 | 7 << 36 | len(pcm)).to_bytes(8, "big") + md5
+        points = struct.pack(">QQH", 0, 0, 576) + struct.pack(">QQH", 3 * 576, sum(map(len, frames[:3])), 576)
+        stream = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points + b"".join(frames)
+        assert flac.decode([stream]) == [pcm]
+        assert [s for s, _ in flac.decode_blocks([stream])[0]] == [0, 3 * 576]
+        assert flac.read_samples(stream, 2000, 700) == pcm[2000:2700] and flac.read_samples(stream, 100, 20) == pcm[100:120]
+
+
+def test_flac_blocks_are_stored_and_sought(spark, docs, odd, tmp_path):
+    for k, df in enumerate((docs, odd)):
+        media = flac.store(df, f"file://{tmp_path}/{k}")
+        flac.pcm_blocks(media).write.parquet(f"file://{tmp_path}/pcm{k}")
+        blocks, want = {}, {}
+        for r in spark.read.parquet(f"file://{tmp_path}/pcm{k}").collect():
+            blocks.setdefault(r.doc_id, []).append((r.sample, bytes(r.pcm)))
+        for d, t in texts(df):
+            raw = t.encode()
+            p = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+            size = flac.BLOCK * flac.SEEK_EVERY
+            want.setdefault(d, []).extend((i, p[i : i + size]) for i in range(0, len(p), size))
+        assert {d: sorted(b) for d, b in blocks.items()} == {d: sorted(b) for d, b in want.items()}
+        for r in media.limit(20).collect():
+            n = flac.metadata(bytes(r.media))["samples"]
+            assert flac.read_samples(bytes(r.media), n - 16, 99) == flac.decode([bytes(r.media)])[0][-16:]
+
+
 def test_flac_query(docs, odd, none):
     for df in (docs, odd, none):
         want = []
         for d, t in texts(df):
             raw = t.encode()
             p = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
-            want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
-        assert counted(tuple(r)[:5] for r in flac.digest(flac.store(df)).collect()) == counted(want)
+            x = [b - 128 for b in p]
+            cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+            feature = f"mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};crossings={cross}"
+            one = flac.encode([p])[0]  # alone: what a stream is doesn't depend on those coded with it
+            want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(one), hashlib.sha256(one).hexdigest(), feature))
+        assert counted(tuple(r) for r in flac.digest(flac.store(df)).collect()) == counted(want)
 
 
 # 5
