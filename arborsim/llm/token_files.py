@@ -4,12 +4,14 @@ A file image (one row of the Parquet container, at most about ``block_ids`` ids
 more) is ``EFT1 | width | crc32 | n_ids | Elias-Fano ends | ids``; ids take 2 bytes where the vocabulary fits.
 Images are written by Spark's own committer, so a lost executor leaves no half-written file.
 
-Null texts count as empty and still get the end id. Rows that share a doc_id keep all their rows, ordered by
-text; null ids come first. An empty table writes no images and reads back empty. Other columns are ignored.
+Null texts count as empty and still get the end id. Rows that share a doc_id are all kept, in the order of a hash
+of their text, and may lie in several images, so one id with many rows is no one task's; null ids come first. An
+empty table writes no images and reads back empty. Other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -36,13 +38,18 @@ MEMO = 1_200_000
 
 #: A chunk of letters and closing marks: the byte-level pattern cuts it into just these two.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
+#: What may lie inside a plain chunk.
+_PARTS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*[.,;:!?]*").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on, in order."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+    """The letter that the library's byte-level alphabet has for each byte of a character below U+0800."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level, out = ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for c in map(chr, range(0x800)):
+        out |= zip(c.encode(), "".join(piece for piece, _ in level.pre_tokenize_str(c)))
+    return out
 
 
 class MemoTokenizer(dict):
@@ -51,7 +58,9 @@ class MemoTokenizer(dict):
     A single space before another character always starts a pre-token of the byte-level pattern, and a single
     line end is always one of its own, so the ids of a text are those of its chunks, cut before each. A plain
     chunk goes straight to the library's model; any other chunk, and texts in which spaces or line ends meet, go
-    through its whole pipeline.
+    through its whole pipeline. All this holds for a byte-level pattern with the library's own regex, no prefix
+    space, no normaliser or post-processor, and no added token that a plain chunk, a space or a line end could be
+    part of; with any other tokenizer all texts go through its pipeline whole.
     """
 
     def __init__(self, path: str):
@@ -64,8 +73,12 @@ class MemoTokenizer(dict):
         self.code = "H" if self.of.get_vocab_size() <= 1 << 16 else "I"
         self.model, self.letters = self.of.model, _byte_letters()
         self.marks: dict[str, bytes] = {}
-        kind = type(self.of.pre_tokenizer)
-        self.direct = kind is pre_tokenizers.ByteLevel and self.of.normalizer is None and self.of.model.dropout is None and self.of.post_processor is None
+        told = json.loads(self.of.to_str())
+        level = told["pre_tokenizer"] or {}
+        added = [t["content"] for t in told["added_tokens"]]
+        self.direct = (level.get("type"), level.get("add_prefix_space"), level.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.direct &= told["normalizer"] is None and told["post_processor"] is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.direct &= not any(" " in t or "\n" in t or _PARTS(t) for t in added)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.of.encode(text, add_special_tokens=False).ids).tobytes()
@@ -77,7 +90,7 @@ class MemoTokenizer(dict):
     def __missing__(self, chunk: str) -> bytes:
         """Ids of a space and the chunk, or of the chunk alone if it starts with a line end."""
         line = chunk[:1] == "\n"
-        m = _PLAIN(chunk[line:]) if self.direct else None
+        m = _PLAIN(chunk[line:])
         if m:
             word, marks = m.groups()
             if marks and marks not in self.marks:
@@ -95,7 +108,7 @@ class MemoTokenizer(dict):
         get, dtype, out = self.__getitem__, np.dtype(self.code), []
         for t in texts:
             cut = t.replace("\n", " \n")
-            if "  " in cut or "\n " in cut or cut[-1:] == " " or " " not in cut:
+            if not self.direct or "  " in cut or "\n " in cut or cut[-1:] == " " or " " not in cut:
                 out.append(np.frombuffer(self._whole(t), dtype))
             else:
                 first, *rest = cut.split(" ")
@@ -124,6 +137,12 @@ def read_image(data: bytes) -> tuple[EliasFano, np.ndarray]:
     return ends, np.frombuffer(body, f"<u{width}", n, ends.size)
 
 
+def read_document(data: bytes, i: int) -> np.ndarray:
+    """The ids of an image's i-th document, its bounds selected."""
+    ends, flat = read_image(data)
+    return flat[ends.select(i - 1) if i else 0 : ends.select(i)]
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, block_ids: int = 1_000_000, partitions: int | None = None) -> None:
     """Encodes docs(doc_id, text) into file images under path, in ascending doc_id order.
 
@@ -131,8 +150,10 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, bloc
     """
     spark = docs.sparkSession
     n = partitions or common.shuffle_partitions(spark)
-    ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = ranged.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    order = ["doc_id", "_hash", "text", *common.PLACE]
+    ranged = common.located(docs.select("doc_id", "text"), "token-documents").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_hash"), *common.PLACE)
+    ranged = ranged.repartitionByRange(n, *(c for c in order if c != "text")).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
@@ -175,7 +196,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 ends, flat = read_image(row.column("image")[0].as_py())
-                end = ends.values().astype(np.int64)
+                end = ends.select_range(0, ends.n).astype(np.int64)
                 start = np.concatenate([[0], end[:-1]])
                 wide = flat.astype("<u4")
                 crc = np.array([zlib.crc32(wide[a:b]) for a, b in zip(start, end)], np.int64)

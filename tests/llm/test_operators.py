@@ -55,7 +55,16 @@ def test_elias_fano(steps):
     v = np.cumsum(np.array(steps, np.uint64)) if steps else np.zeros(0, np.uint64)
     e = EliasFano(encode(v))
     assert e.values().tolist() == v.tolist()
-    assert [e.select(i) for i in range(0, len(v), 7)] == v[::7].tolist()
+    assert [e.select(i) for i in range(len(v))] == v.tolist()
+    for a, b in ((0, len(v) // 2), (len(v) // 3, len(v)), (len(v) // 2, len(v) // 2), (min(63, len(v)), min(130, len(v)))):
+        assert e.select_range(a, b).tolist() == v[a:b].tolist()
+    with pytest.raises(IndexError):
+        e.select(len(v))
+
+
+def test_elias_fano_is_small():
+    v = np.cumsum(np.random.default_rng(1).integers(1, 1000, 100_000))
+    assert 8 * len(encode(v)) / len(v) < 2 + np.log2(v[-1] / len(v)) + 1
 
 
 @pytest.fixture(scope="module")
@@ -75,11 +84,34 @@ def test_memo_tokenizer_equals_library(parts):
     assert t.encode([text])[0].tolist() == t.of.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", ["plain", "prefix", "added", "lower", "spaced"])
+def test_memo_tokenizer_guards_its_shortcut(path, tmp_path, change):
+    """Tokenizers whose pattern differs go through the library whole."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    t = Tokenizer.from_file(path)
+    if change == "prefix":
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif change == "added":
+        t.add_tokens(["ord"])
+    elif change == "spaced":
+        t.add_tokens(["the Word"])
+    elif change == "lower":
+        t.normalizer = normalizers.Lowercase()
+    t.save(f"{tmp_path}/t.json")
+    memo = token_files.MemoTokenizer(f"{tmp_path}/t.json")
+    assert memo.direct == (change == "plain")
+    for text in ("the Word, Words\nthe Word words", "a  b", " Wordé the Word."):
+        assert memo.encode([text])[0].tolist() == Tokenizer.from_file(f"{tmp_path}/t.json").encode(text, add_special_tokens=False).ids
+
+
 def brute_tokens(rows, path):
+    import xxhash
     from tokenizers import Tokenizer
 
     t, out, start = Tokenizer.from_file(path), [], 0
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1].encode())):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -87,11 +119,23 @@ def brute_tokens(rows, path):
 
 
 def test_token_files(spark, docs, odd, none, path, tmp_path):
-    for i, df in enumerate((docs, odd, none)):
+    hot = spark.createDataFrame([(5, f"text {i % 90} of many") for i in range(300)] + [(None, None)] * 200 + [(i, "one") for i in range(9)], "doc_id long, text string")
+    for i, df in enumerate((docs, odd, none, hot)):
         token_files.write(df, path, f"file://{tmp_path}/{i}", block_ids=5000)
         assert counted(token_files.read(spark, f"file://{tmp_path}/{i}").collect()) == counted([f"Row(doc_id={a}, start={b}, n_tokens={c}, ids_crc32={d})" for a, b, c, d in brute_tokens(texts(df), path)])
 
 
+def test_one_id_is_dealt_to_many_images(spark, path, tmp_path):
+    hot = spark.createDataFrame([(5, f"text {i} of many") for i in range(4000)], "doc_id long, text string")
+    token_files.write(hot, path, f"file://{tmp_path}/hot", partitions=8)
+    images = spark.read.parquet(f"file://{tmp_path}/hot")
+    assert images.count() == 8 and images.selectExpr("max(size(doc_ids))").first()[0] < 1000
+    row = images.where("part = 3").first()
+    ends, flat = token_files.read_image(bytes(row.image))
+    every = np.split(flat, ends.values().astype(int))
+    assert all((token_files.read_document(bytes(row.image), i) == every[i]).all() for i in (0, 1, 100, ends.n - 1))
+
+
 def test_damaged_image(path):
     data = token_files.image([np.array([1, 2, 0], np.uint16)])
     with pytest.raises(ValueError):
