@@ -4,9 +4,9 @@ A text's words are its runs of ASCII letters and digits and non-ASCII characters
 item of n words or more gives all its windows of n; a shorter one gives itself as one window. Document windows
 are hashed and looked up in the hash set of item windows; every hit is verified word by word.
 
-The item windows are counted first and broadcast in blocks of about ``BROADCAST_WINDOWS``, dealt by hash: one
-block and one pass over the documents for any benchmark of usual size, more passes for larger ones. Document
-windows are never shuffled; only verified hits are.
+The item windows are measured first and broadcast in blocks of about ``BROADCAST_BYTES``, dealt by hash: one block
+and one pass over the documents for any benchmark of usual size, more passes for larger ones. A window that many
+items share is one row. Document windows are never shuffled; only verified hits are. A pass splits each text once.
 Null texts have no words. Items without an id count as one item together, which comes first and is left out where
 items are written as text. Rows that agree in doc_id and text share their result; nothing is dropped for skew.
 """
@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 from arborsim.llm import common
 
 N = 10
-#: About 40 bytes each with their hash: 40 MB at most.
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows, their items and what a row takes besides, in a block.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 96
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: A word of a text that isn't lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
@@ -34,7 +39,8 @@ def _windows(base: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     The hash reads the words where they lie: nothing is copied for each stretch, and scan, explode, hash and the
     lookup that follows are one generated stage.
     """
-    each = base.select(*keep, "words", F.posexplode("words").alias("pos", "_w"))
+    # outer: for an inner one Spark infers a filter on the words, for which it splits the text again
+    each = base.select(*keep, "words", F.posexplode_outer("words").alias("pos", "_w"))
     hashes = [F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.get("words", F.col("pos") + i) for i in range(n)]).alias("h")) for n in lengths]
     if len(hashes) == 1:
         each = each.select(*keep, "words", "pos", hashes[0]["n"].alias("n"), hashes[0]["h"].alias("h"))
@@ -44,31 +50,34 @@ def _windows(base: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """item, n, h, window: the distinct windows of benchmark(item_id, text)."""
+    """n, h, window (words with spaces between), items (with an id, sorted), lost (whether one has none) of each distinct window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
-    items = items.select("item", "n", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("n")))).alias("window"))
-    return items.distinct()
+    each = items.select("item", "n", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("n")))).alias("w"))
+    each = each.select("item", "n", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("window"))
+    return each.groupBy("n", "h", "window").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull()).alias("lost"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): rows has _key, doc_id, n_words of each row; hits has _key, pos, n, item of each verified hit."""
-    items = item_windows(benchmark, n)
-    lengths = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}  # at most n rows
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", F.struct(F.xxhash64("text").alias("a"), F.length("text").alias("b")).alias("_key"), words(F.col("text")).alias("words"))
-    rows = base.select("doc_id", "_key", F.size("words").cast("long").alias("n_words"))
-    if not lengths:
-        return rows, rows.select("doc_id", "_key", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("item")).where("false")
-    todo = sorted(lengths)
-    known = items.select(F.xxhash64("window").alias("_h"), F.col("n").alias("_n"), F.col("window").alias("_window"), "item")
-    seen, hits = _windows(base, ["doc_id", "_key"], todo), None
-    blocks = -(-sum(lengths.values()) // BROADCAST_WINDOWS)
+    """(rows, hits): rows has _key, doc_id, n_words of each row; hits has _key, pos, n, items, lost of each verified hit."""
+    known = common.materialise(item_windows(benchmark, n), "benchmark-windows")
+    bytes_of = F.lit(ROW_BYTES) + F.octet_length("window") + F.aggregate("items", F.lit(0), lambda s, x: s + 16 + F.octet_length(x))
+    sizes = {r["n"]: r["b"] for r in known.groupBy("n").agg(F.sum(bytes_of).alias("b")).collect()}  # at most n rows
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("_key")
+    base = docs.select(F.col("doc_id").cast("long"), key, text.alias("text"))
+    rows = base.select("doc_id", "_key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    if not sizes:
+        none = rows.select("doc_id", "_key", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("lost"))
+        return rows, none.where("false")
+    known = known.select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("window").alias("_window"), "items", "lost")
+    seen, hits = _windows(base.select("doc_id", "_key", words(F.col("text")).alias("words")), ["doc_id", "_key"], sorted(sizes)), None
+    blocks = -(-sum(sizes.values()) // BROADCAST_BYTES)
     for i in range(blocks):
         block = known.where(F.pmod("_h", F.lit(blocks)) == i) if blocks > 1 else known
         found = seen.join(F.broadcast(block), (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
-        found = found.where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("_window")).select("doc_id", "_key", "pos", "n", "item")
+        found = found.where(F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ") == F.col("_window")).select("doc_id", "_key", "pos", "n", "items", "lost")
         hits = found if hits is None else hits.unionByName(found)
     return rows, hits
 
@@ -78,7 +87,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     rows, hits = find_hits(docs, benchmark, n)
     by = ["doc_id", "_key"]
     # hit stretches are merged with the running end of those before them; each document's hits are its own group
-    at = hits.groupBy(*by, "pos").agg(F.max("n").alias("n"), F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("_lost"))
+    at = hits.groupBy(*by, "pos").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("lost").alias("_lost"))
     order = Window.partitionBy(*by).orderBy("pos")
     ended = F.coalesce(F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = at.withColumn("_new", F.greatest(F.col("pos") + F.col("n") - F.greatest(F.col("pos"), ended), F.lit(0)))

@@ -486,10 +486,18 @@ def test_decontamination_by_items_without_id(spark, tmp_path):
 def test_decontamination_in_blocks(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, BASE), (2, LONG[:3000])], "item_id long, text string")
     want = counted(tuple(r) for r in decontaminate.scan(odd, bench).select("doc_id", "n_hit", "items").collect())
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 100)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10_000)
     assert counted(tuple(r) for r in decontaminate.scan(odd, bench).select("doc_id", "n_hit", "items").collect()) == want
 
 
+def test_decontamination_splits_each_text_once(spark, docs):
+    bench = spark.createDataFrame([(i, BASE) for i in range(50)], "item_id long, text string")
+    _, hits = decontaminate.find_hits(docs, bench)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "BroadcastHashJoin" in hits._jdf.queryExecution().executedPlan().toString()
+    assert decontaminate.item_windows(bench).count() == 71  # items that share a window are one row
+
+
 # 6 and 10
 
 
