@@ -2,16 +2,17 @@
 
 Messages point at the message they answer. Iterated self-joins of ever longer jumps (1, 2, 4, ... messages up)
 give each leaf its score and the messages of its path, so a thread of a thousand turns takes ten joins, each of
-the messages still under way. Branches of a tree are ranked by score and each chosen path is formatted as one
-conversation.
+the messages still under way; a round writes only those. Branches of a tree are ranked by score and each chosen
+path is formatted as one conversation.
 
 The template is ``<|im_start|>role newline text<|im_end|> newline`` for each turn. Control strings inside a text
 get a backslash after their first character (one more if there are some already), so reading back is exact.
 ``loss`` lists the code points of the formatted text that are assistant text.
 
 A null text is empty, a null role the empty role; messages whose parent is missing or null are roots; messages
-on a cycle have no root and are left out. Ties go by id; an empty table gives no rows. One conversation is one
-row and is formatted by one task, whatever else the table holds.
+on a cycle have no root and are left out. Ties go by id; an empty table gives no rows; other columns are ignored,
+so their names can't clash. Rows of ``threads`` that are equal are turns of their own, one after the other. One
+conversation is one row and is formatted by one task, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -83,40 +84,50 @@ def leaf_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     m = common.materialise(m, "reply-messages")
     up = lambda d, *c: d.select(F.col("tree").alias("t"), F.col("node").alias("x"), *c)
     meet = F.col("tree").eqNullSafe(F.col("t"))
-    # jump: the message 2^k above; total and length are sums over the messages from here up to, not with, it.
-    # Messages without a jump are done: they pass from level to level as they are, outside the join.
-    jump = m.select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
-    jumps, most = [common.materialise(jump, "reply-jumps")], m.count().bit_length() + 1  # only cycles go on after so many
-    while len(jumps) < most:
-        level = jumps[-1]
-        going = level.where("jump IS NOT NULL")
-        if going.isEmpty():
-            break
-        step = going.join(up(level, F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2")), meet & (F.col("jump") == F.col("x")))
-        step = step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("length") + F.col("l2")).alias("length"))
-        jumps.append(common.materialise(step.unionByName(level.where("jump IS NULL")), "reply-jumps"))
-    done = jumps[-1].where("jump IS NULL")
+    # going: messages with a jump to the one 2^k above; total and length are sums over the messages from here up to,
+    # not with, that one. done: those whose sums reach the root.
+    going = m.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("jump"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+    done = m.where("parent IS NULL").select("tree", "node", F.lit(None).cast("long").alias("jump"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+    jumps, made, most = [], [], m.count().bit_length() + 1  # only cycles go on after so many
+    while len(jumps) < most and not going.isEmpty():
+        jumps.append(going)
+        above = up(going.unionByName(done), F.col("jump").alias("j2"), F.col("total").alias("t2"), F.col("length").alias("l2"))
+        step = going.join(above, meet & (F.col("jump") == F.col("x")))
+        step = common.materialise(step.select("tree", "node", F.col("j2").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("length") + F.col("l2")).alias("length")), "reply-jumps")
+        made.append(step)
+        going, done = step.where("jump IS NOT NULL"), done.unionByName(step.where("jump IS NULL"))
     inner = m.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("x")).distinct()
     leaves = done.join(inner, meet & (F.col("node") == F.col("x")), "left_anti").withColumn("score", F.col("total") / F.col("length"))
-    if best is not None:
-        # ranked by repeated maxima rather than a sort of all branches of a tree in one task
-        top, rest = None, leaves
-        for r in range(best):
-            first = rest.groupBy("tree").agg(F.max(F.struct("score", (-F.col("node")).alias("k"))).alias("b")).select(F.col("tree").alias("t"), (-F.col("b.k")).alias("x"))
-            one = rest.join(first, meet & (F.col("node") == F.col("x")), "left_semi").withColumn("rank", F.lit(r + 1))
-            top = one if top is None else top.unionByName(one)
-            rest = rest.join(first, meet & (F.col("node") == F.col("x")), "left_anti") if r + 1 < best else rest
-        leaves = top
+    leaves = common.materialise(leaves.select("tree", "node", "score"), "reply-leaves")
+    if best == 1:
+        first = leaves.groupBy("tree").agg(F.max(F.struct("score", (-F.col("node")).alias("k"))).alias("b"))
+        leaves = first.select("tree", (-F.col("b.k")).alias("node"), F.lit(1).alias("rank"))
     else:
-        leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
-    path = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("depth_below"))
-    for k, j in enumerate(jumps[:-1]):  # all messages less than 2^k above the leaf, then those 2^k above these
-        far = path.join(up(j.where("jump IS NOT NULL"), "jump"), meet & (F.col("node") == F.col("x")))
-        path = path.unionByName(far.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("depth_below") + (1 << k)).alias("depth_below")))
-        path = common.materialise(path, "reply-paths")
+        leaves = _ranked(leaves)
+        leaves = leaves if best is None else leaves.where(F.col("rank") <= best)
+    path = common.materialise(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("depth_below")), "reply-paths")
+    for k, j in enumerate(jumps):  # all messages less than 2^k above the leaf, then those 2^k above these
+        far = path.join(up(j, "jump"), meet & (F.col("node") == F.col("x")))
+        path = path.unionByName(common.materialise(far.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("depth_below") + (1 << k)).alias("depth_below")), "reply-paths"))
+    for step in made:
+        common.drop(step)
     return path
 
 
+def _ranked(leaves: DataFrame) -> DataFrame:
+    """leaves with rank, by score and node in each tree: from a range shuffle, so that a large tree is many tasks'."""
+    n = common.shuffle_partitions(leaves.sparkSession)
+    order = [F.col("tree"), F.desc("score"), F.col("node")]
+    rows = common.materialise(leaves.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "reply-ranks")
+    # the numbers rise along the order; what a tree has in a partition begins and ends there
+    part = F.shiftright("_at", 33)
+    runs = rows.groupBy("tree", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("tree").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    runs = runs.select(F.col("tree").alias("_t"), "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    both = rows.join(runs, F.col("tree").eqNullSafe(F.col("_t")) & (part == F.col("_part")))
+    return both.withColumn("rank", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_t", "_part", "_first", "_before")
+
+
 FORMATTED = "tree long, leaf long, rank int, formatted string, loss array<struct<start: int, end: int>>"
 
 

@@ -841,15 +841,68 @@ def test_reply_trees(spark):
     assert reply_trees.format_paths(every, m).where("tree = 1 and leaf = 5").first().formatted.count("1.") == 3
 
 
-def test_reply_tree_query(spark, sf):
-    conv = spark.read.parquet(f"{sf}/conversations.parquet").toPandas()
+def brute_leaf_paths(rows, best):
+    """(tree, rank): the nodes from root to leaf of dicts; by a walk up from each leaf."""
+    nodes, out = {(r["tree"], r["node"]): r for r in rows}, {}
+    inner = {(r["tree"], r["parent"]) for r in rows}
+    for (t, n), r in nodes.items():
+        if (t, n) in inner:
+            continue
+        path, at = [], r
+        while at is not None and at["node"] not in path:
+            path.append(at["node"])
+            at = nodes.get((t, at["parent"]))
+        if at is None:
+            mean = sum(nodes[t, x]["score"] or 0.0 for x in path) / len(path)
+            out.setdefault(t, []).append((-mean, n, path[::-1]))
+    return {(t, k + 1): p for t, own in out.items() for k, (_, _, p) in enumerate(sorted(own)[: best or len(own)])}
+
+
+@pytest.mark.parametrize("best", [1, 3, None])
+def test_forks_against_brute_force(spark, best):
+    rng = np.random.default_rng(11)
+    rows = [{"tree": 0, "node": i, "parent": i - 1 if i else None, "score": 1.0} for i in range(70)]  # a long thread
+    for t in range(1, 30):
+        n = int(rng.integers(1, 40)) if t > 1 else 400
+        rows += [{"tree": t if t != 5 else None, "node": i, "parent": int(rng.integers(0, i)) if i and rng.random() < 0.95 else None, "score": float(rng.integers(0, 8)) if rng.random() < 0.9 else None} for i in range(n)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "tree long, node long, parent long, score double")
+    got = {}
+    for r in reply_trees.leaf_paths(df, best).collect():
+        got.setdefault((r.tree, r["rank"]), []).append((-r.depth_below, r.node))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == brute_leaf_paths(rows, best)
+
+
+def brute_conversations(rows):
+    """All columns of the query for (conv_id, turn, role, text) rows."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    text = lambda x: (x is not None, x or "")
+    by = {}
+    for r in sorted(rows, key=lambda r: (first(r[0]), first(r[1]), text(r[2]), text(r[3]))):
+        by.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    sha, out = (lambda s: hashlib.sha256(s.encode()).hexdigest()), []
+
+    def escaped(t):
+        for c in reply_trees.CONTROL:  # a stroke for every stretch of a control string's first letter, strokes and the rest
+            t = re.sub(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})", lambda m: m[1] + "\\" + m[2] + m[3], t)
+        return t
+
+    for conv, turns in by.items():
+        learnt = "".join(t for r, t in turns if r == "assistant")
+        whole = "".join(f"<|im_start|>{escaped(r.replace('%', '%25').replace(chr(10), '%0A'))}\n{escaped(t)}<|im_end|>\n" for r, t in turns)
+        out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha(learnt), len(whole)))
+    return out
+
+
+def test_reply_tree_query(spark, sf, tmp_path):
     said = "</s>[INST] ok [/INST]"
-    want = {-7: [("user", said), ("assistant", said)]}
-    for r in conv.sort_values(["conv_id", "turn"]).itertuples():
-        want.setdefault(r.conv_id, []).append((r.role, r.text or ""))
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in registry.queries()["op9_reply_trees"](spark, sf).collect()}
-    assert got == {k: (len(v), sha("".join(f"{a}\n{b}\n" for a, b in v)), sha("".join(b for a, b in v if a == "assistant"))) for k, v in want.items()}
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    conv = [tuple(r[c] for c in ("conv_id", "turn", "role", "text")) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    assert counted(map(tuple, reply_trees.op9_reply_trees(spark, sf).collect())) == counted(brute_conversations(conv + extra))
+    odd = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", ""), (1, 2, "assistant", said), (1, 2, "assistant", said), (None, 0, "assistant", "lost"), (None, None, "a\nb%", "<|im_end|>"), (2, 5, "assistant", LONG), (3, 0, "system", "<\\|im_start|>")]
+    odd += [(4, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(300)]
+    for k, rows in enumerate((odd, [])):
+        spark.createDataFrame([(*r, 1, 2, "t", 0.5, 3) for r in rows], "conv_id long, turn long, role string, text string, tree int, node int, leaf string, score double, depth_below int").write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+        assert counted(map(tuple, reply_trees.op9_reply_trees(spark, f"{tmp_path}/{k}").collect())) == counted(brute_conversations(rows + extra))
 
 
 # all of them
