@@ -15,6 +15,16 @@ def weighted_pool(chunks: DataFrame, key: str, vec: str, weight: str) -> DataFra
     return mean.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p")).select(key, F.transform("p", lambda x: x["v"]).alias("vec"))
 
 
+def masked_pool(tokens: DataFrame, key: str, vec: str, mask: str) -> DataFrame:
+    """key, vec: the mean of each key's vectors that the mask (0 or 1) keeps; zeros where it keeps none.
+
+    ``masked_mean`` over rows: partial sums, so a key's vectors are never in one place.
+    """
+    each = tokens.select(key, F.posexplode(vec).alias("pos", "v"), F.col(mask).cast("double").alias("m"))
+    mean = each.groupBy(key, "pos").agg((F.sum(F.col("v") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("v"))
+    return mean.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p")).select(key, F.transform("p", lambda x: x["v"]).alias("vec"))
+
+
 def weighted_average(parts: list[tuple[np.ndarray, int]], dims: int = 768) -> np.ndarray:
     """Weights in double, products and sums in float, in order; zeros of ``dims`` elements without weight."""
     total = sum(n for _, n in parts)

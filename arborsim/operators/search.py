@@ -1,4 +1,4 @@
-"""Exact similarity search: score each indexed content once, join the paths, keep the best."""
+"""Exact similarity search: score each indexed content once, take the best, then join their paths."""
 
 from __future__ import annotations
 
@@ -16,15 +16,38 @@ from arborsim.schema import SearchOptions
 WIDE = 16
 
 
+def pack(index: DataFrame) -> DataFrame:
+    """blob_sha, packed: each vector as its floats' bytes, which cross to Python and are cut many times faster than arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            flat = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False), "<f4")
+            ends = (np.concatenate([[0], np.cumsum(np.diff(v.offsets.to_numpy()))]) * 4).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(flat)])], names=["blob_sha", "packed"])
+
+    return index.where("vec IS NOT NULL").select("blob_sha", "vec").mapInArrow(run, "blob_sha string, packed binary")
+
+
+def _floats(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All floats of a column of arrays or of packed vectors, and the length of each."""
+    if not pa.types.is_binary(v.type):
+        return v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+    _, offsets, data = v.buffers()
+    at = np.frombuffer(offsets, np.int32)[v.offset : v.offset + len(v) + 1]
+    return np.frombuffer(data or b"", "<f4")[at[0] // 4 : at[-1] // 4], np.diff(at) // 4
+
+
 def _numpy_scores(index: DataFrame, query: Sequence[float], dims: int) -> DataFrame:
-    """blob_sha, score: a matrix product for each Arrow batch; rows shorter than the query use their own length."""
+    """blob_sha, score: a matrix product for each Arrow batch; rows shorter than the query use their own length.
+
+    Scores are rounded to 12 places: equal vectors score alike wherever in a batch they lie.
+    """
     q = np.asarray(query, np.float64)[: max(dims, 0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column(1)
-            sizes = np.diff(v.offsets.to_numpy())
-            flat = v.flatten().to_numpy(zero_copy_only=False)
+            flat, sizes = _floats(batch.column(1))
             out = np.empty(len(sizes))
             at = np.concatenate([[0], np.cumsum(sizes)])
             for n in np.unique(sizes):
@@ -38,14 +61,17 @@ def _numpy_scores(index: DataFrame, query: Sequence[float], dims: int) -> DataFr
                 norm = np.sqrt(np.einsum("ij,ij->i", m, m)) * np.sqrt(q[:k] @ q[:k])
                 with np.errstate(invalid="ignore", divide="ignore"):
                     out[mine] = np.where(norm == 0, 0.0, m @ q[:k] / norm)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64(), from_pandas=True)], names=["blob_sha", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(out, 12), pa.float64(), from_pandas=True)], names=["blob_sha", "score"])
 
+    if "packed" in index.columns:
+        return index.select("blob_sha", F.substring("packed", 1, 4 * len(q)).alias("packed")).mapInArrow(run, "blob_sha string, score double")
     part = F.slice("vec", 1, len(q)) if len(q) else F.array().cast("array<float>")  # the rest isn't sent to Python
     return index.where("vec IS NOT NULL").select("blob_sha", part.alias("vec")).mapInArrow(run, "blob_sha string, score double")
 
 
 def scores(index: DataFrame, query: Sequence[float], dims: int) -> DataFrame:
-    if min(dims, len(query)) >= WIDE:
+    """blob_sha, score of index(blob_sha, vec), or of what ``pack`` made of it."""
+    if min(dims, len(query)) >= WIDE or "packed" in index.columns:
         return _numpy_scores(index, query, dims)
     q = F.array(*[F.lit(float(x)) for x in query])
     return index.select("blob_sha", vectors.cosine(F.col("vec"), q, dims).alias("score"))
@@ -56,27 +82,56 @@ def top_k(scored: DataFrame, top: int, *ties: str) -> DataFrame:
     return scored.orderBy(F.desc_nulls_last("score"), *ties).limit(max(top, 0))
 
 
-def search(index: DataFrame, tree: DataFrame, query: Sequence[float], options: SearchOptions = SearchOptions()) -> DataFrame:
-    """score, path, blob_sha of the best paths. Index rows without a path in the tree drop out.
+def ranked(index: DataFrame, tree: DataFrame, query: Sequence[float], options: SearchOptions = SearchOptions()) -> DataFrame:
+    """score, path, blob_sha of the best paths, by one join of all scores and all paths.
 
     The path filter reaches the tree's scan; each content is scored once, before its paths are joined.
     """
-    paths = tree.select("path", "blob_sha")
-    if options.path is not None:
-        paths = paths.where(F.col("path").startswith(options.path))
-    found = scores(index, query, options.dims).join(paths, "blob_sha")
+    found = scores(index, query, options.dims).join(_paths(tree, options), "blob_sha")
     return top_k(found.select("score", "path", "blob_sha"), options.top, "path")
 
 
+def _paths(tree: DataFrame, options: SearchOptions) -> DataFrame:
+    paths = tree.select("path", "blob_sha")
+    return paths if options.path is None else paths.where(F.col("path").startswith(options.path))
+
+
+#: Contents that are looked up first, for each path asked for, and at least.
+AHEAD, LEAST = 8, 64
+
+
+def search(index: DataFrame, tree: DataFrame, query: Sequence[float], options: SearchOptions = SearchOptions()) -> DataFrame:
+    """score, path, blob_sha of the best paths. Index rows without a path in the tree drop out.
+
+    The best contents (AHEAD for each path asked for) are found without a shuffle and their paths by a broadcast of
+    them. If these are paths enough, each better than the last content looked up, nothing else can be among the
+    best; otherwise (many stale rows, a narrow path) ``ranked`` joins everything.
+    """
+    block = max(AHEAD * options.top, LEAST)
+    if options.top <= 0 or block > 10_000:
+        return ranked(index, tree, query, options)
+    spark, kind = index.sparkSession, "score double, path string, blob_sha string"
+    best = top_k(scores(index, query, options.dims), block, "blob_sha").collect()
+    if best:
+        known = F.broadcast(spark.createDataFrame([(r["blob_sha"], r["score"]) for r in best], "blob_sha string, score double"))
+        found = top_k(_paths(tree, options).join(known, "blob_sha").select("score", "path", "blob_sha"), options.top, "path").collect()
+        worst = best[-1]["score"]
+        if len(best) < block or len(found) == options.top and found[-1]["score"] is not None and (worst is None or found[-1]["score"] > worst):
+            return spark.createDataFrame(found, kind).coalesce(1)
+        return ranked(index, tree, query, options)
+    return spark.createDataFrame([], kind)
+
+
 def similar(index: DataFrame, tree: DataFrame, path: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """The paths most similar to an indexed file; its content, under whatever path, is left out."""
     at = tree.where(F.col("path") == path).select("blob_sha").first()
     if at is None:
         raise ValueError(f"File not found in tree: {path}")
-    row = index.where(F.col("blob_sha") == at[0]).select("vec").first()
+    row = index.where(F.col("blob_sha") == at[0]).drop("blob_sha").first()
     if row is None:
         raise ValueError(f"File not indexed: {path}")
-    return search(index.where(F.col("blob_sha") != at[0]), tree, row[0], options)
+    query = np.frombuffer(row[0], "<f4").tolist() if "packed" in index.columns else row[0]
+    return search(index.where(F.col("blob_sha") != at[0]), tree, query, options)
 
 
 def search_many(index: DataFrame, queries: DataFrame, dims: int, top: int) -> DataFrame:

@@ -13,6 +13,7 @@ from arborsim import schema
 from arborsim.functions import text, vectors
 from arborsim.operators import chunking, embed, maintain, pooling, search
 from arborsim.schema import SearchOptions
+from arborsim.sources import scratch
 
 TARGET, QUERIES, BUDGET = 3, 5, 40
 
@@ -49,9 +50,9 @@ def _r(c: Column | str) -> Column:
 def _similar_vectors(dims: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = _table(spark, d, "embeddings")
-        rows = e.where(F.col("vec_id") != TARGET).select("vec_id", F.col("embedding").alias("vec"), F.col("vec_id").cast("string").alias("blob_sha"))
-        q = F.array(*map(F.lit, _query_vector(spark, d)))
-        return search.top_k(rows.select("vec_id", _r(vectors.cosine(F.col("vec"), q, dims)).alias("score")), 10, "vec_id")
+        rows = e.where(F.col("vec_id") != TARGET).select(F.col("vec_id").cast("string").alias("blob_sha"), F.col("embedding").alias("vec"))
+        found = search.scores(rows, _query_vector(spark, d), dims).select(F.col("blob_sha").cast("long").alias("vec_id"), _r("score").alias("score"))
+        return search.top_k(found, 10, "vec_id")
 
     return run
 
@@ -113,31 +114,25 @@ def _found(df: DataFrame) -> DataFrame:
     return df.select(_r("score").alias("score"), "path", "blob_sha")
 
 
-def _searched(index: DataFrame, tree: DataFrame, q: list[float], o: SearchOptions) -> DataFrame:
-    """search() with scores rounded before the cut, so that ties at the last place agree with SQL."""
-    paths = tree.select("path", "blob_sha")
-    if o.path is not None:
-        paths = paths.where(F.col("path").startswith(o.path))
-    return search.top_k(_found(search.scores(index, q, o.dims).join(paths, "blob_sha")), o.top, "path")
-
-
 def search_with_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(_index(spark, d), _tree(spark, d), _query_vector(spark, d), SearchOptions(64, 10))
+    return _found(search.search(_index(spark, d), _tree(spark, d), _query_vector(spark, d), SearchOptions(64, 10)))
 
 
 def search_path_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(_index(spark, d), _tree(spark, d), _query_vector(spark, d), SearchOptions(64, 10, "src1"))
+    return _found(search.search(_index(spark, d), _tree(spark, d), _query_vector(spark, d), SearchOptions(64, 10, "src1")))
 
 
 def search_stale_excluded(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(_index(spark, d, True), _tree(spark, d), _query_vector(spark, d, 7), SearchOptions(32, 20))
+    return _found(search.search(_index(spark, d, True), _tree(spark, d), _query_vector(spark, d, 7), SearchOptions(32, 20)))
+
+
+def search_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _found(search.search(search.pack(_index(spark, d, True)), _tree(spark, d), _query_vector(spark, d), SearchOptions(48, 25)))
 
 
 def similar_excludes_copies(spark: SparkSession, d: str) -> DataFrame:
-    tree, index = _tree(spark, d), _index(spark, d)
-    sha = tree.where(F.col("doc_id") == TARGET).select("blob_sha").first()[0]
-    q = index.where(F.col("blob_sha") == sha).select("vec").first()[0]
-    return _searched(index.where(F.col("blob_sha") != sha), tree, q, SearchOptions(64, 15))
+    tree = _tree(spark, d)
+    return _found(search.similar(_index(spark, d), tree, tree.where(F.col("doc_id") == TARGET).first()["path"], SearchOptions(64, 15)))
 
 
 def format_results(spark: SparkSession, d: str) -> DataFrame:
@@ -184,24 +179,15 @@ def weighted_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def masked_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     """Token rows of a text are the vectors of a label; the mask leaves out every third."""
-    e = _table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"), F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0).alias("m"))
-    out = e.groupBy("label", "pos").agg((F.sum(F.col("v") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("v"))
-    return out.select("label", "pos", _r("v").alias("value"))
+    e = _table(spark, d, "embeddings").withColumn("m", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0))
+    out = pooling.masked_pool(e, "label", "embedding", "m")
+    return out.select("label", F.posexplode("vec").alias("pos", "v")).select("label", "pos", _r("v").alias("value"))
 
 
 def batch_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy batches of documents by white-space words, planned for slices of 500 ids of a source at a time."""
-    import pandas as pd
-
-    docs = _table(spark, d, "documents").select("source", F.expr("doc_id div 500").alias("slice"), "doc_id", F.least(F.size(F.filter(F.split("text", " "), lambda w: w != "")), F.lit(512)).alias("tokens"))
-
-    def plan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tokens", "doc_id"]).reset_index(drop=True)
-        out = chunking.make_batches(g["tokens"].tolist(), chunking.BatchConfig.with_batch_size(8))
-        number = {i: b for b, own in enumerate(out) for i in own}
-        return pd.DataFrame({"source": g["source"], "slice": g["slice"], "doc_id": g["doc_id"], "batch": [number[i] for i in range(len(g))]})
-
-    return docs.groupBy("source", "slice").applyInPandas(plan, "source string, slice long, doc_id long, batch long")
+    """Greedy batches of all documents by white-space words."""
+    docs = _table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("tokens"))
+    return chunking.plan_batches(docs, "tokens", chunking.BatchConfig.with_batch_size(8), "doc_id")
 
 
 MEMORY = tuple(m << 20 for m in (0, 512, 1024, 1100, 1200, 2048, 3000, 4096, 16384))
@@ -210,17 +196,17 @@ MEMORY = tuple(m << 20 for m in (0, 512, 1024, 1100, 1200, 2048, 3000, 4096, 163
 def batch_config(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(m,) for m in MEMORY], "available long")
     size = chunking.batch_size_column(F.col("available"))
-    return rows.select("available", size.alias("batch_size"), F.when(size >= 32, 16384).otherwise(F.greatest(size * 512, F.lit(512))).cast("int").alias("batch_tokens"))
+    return rows.select("available", size.alias("batch_size"), chunking.batch_tokens_column(size).alias("batch_tokens"))
 
 
 def index_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The index as a file image and read back from it."""
+    """The index as a file and read back from it."""
     from arborsim.sources import codec
 
-    data = codec.export(_index(spark, d), schema.IndexMeta(dims=64))
-    meta, rows = codec.decode(data)
-    back = spark.createDataFrame([(s, v.tolist()) for s, v in rows.items()], schema.INDEX)
-    return back.select("blob_sha", F.size("vec").alias("dims"), F.lit(meta.model).alias("model"))
+    at = scratch.path(spark, "codec") + "/index.bin"
+    codec.export(_index(spark, d), schema.IndexMeta(dims=64), at)
+    model = codec.read_model(spark, at)
+    return codec.read_files(spark, at).select("blob_sha", F.size("vec").alias("dims"), _r(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("total"), F.lit(model).alias("model"))
 
 
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -231,12 +217,10 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_update(spark: SparkSession, d: str) -> DataFrame:
     """The index after a stream of the tree's files, the documents table, has been taken in."""
-    import uuid
-
     from arborsim.sources.index_store import IndexStore
     from arborsim.streaming.update import stream_update as start
 
-    at = _scratch(spark) + f"/stream-{uuid.uuid4().hex}"
+    at = scratch.path(spark, "stream")
     _tree(spark, d).select("path", "blob_sha", "content").write.parquet(f"{at}/files")
     store = IndexStore(spark, f"{at}/index")
     files = spark.readStream.schema(schema.BLOBS).option("maxFilesPerTrigger", 4).parquet(f"{at}/files")
@@ -244,34 +228,46 @@ def stream_update(spark: SparkSession, d: str) -> DataFrame:
     return store.load()[1].select("blob_sha", F.size("vec").alias("dims"))
 
 
-def git_tree_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The files of this repository's last commit."""
-    from pathlib import Path
+def engine_update(spark: SparkSession, d: str) -> DataFrame:
+    """The index after an update with two thirds of the tree, one with half of it, and a collection with four fifths."""
+    from arborsim.plans.engine import Engine
+
+    engine, tree = Engine(spark, scratch.path(spark, "engine"), embed.HashingEmbedder()), _tree(spark, d)
+    engine.update(tree.where("doc_id % 3 <> 0"))
+    engine.update(tree.where("doc_id % 2 = 0"))
+    engine.gc(tree.where("doc_id % 5 <> 0"))
+    return engine.store.load()[1].select("blob_sha", F.size("vec").alias("dims"))
 
-    from arborsim.sources import git_tree
 
-    return git_tree.read(spark, str(Path(__file__).parent)).select("path", "blob_sha", F.octet_length("content").alias("n_bytes"))
+def engine_status(spark: SparkSession, d: str) -> DataFrame:
+    from arborsim.plans.engine import Engine
 
+    engine, tree = Engine(spark, scratch.path(spark, "engine"), embed.HashingEmbedder()), _tree(spark, d)
+    did = engine.update(tree)
+    return engine.status(tree).select("*", *(F.lit(did[k]).cast("long").alias(k) for k in ("entries", "distinct", "skipped")))
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="arborsim-")
+def git_tree_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a repository that is made of the tree, through one git process, in the shared folder."""
+    from arborsim.sources import git_tree
+
+    at = scratch.local(spark, scratch.path(spark, "repository.git"))
+    files = ((r["path"], bytes(r["content"])) for r in _tree(spark, d).select("path", "content").toLocalIterator())
+    return git_tree.read(spark, git_tree.make(at, files)).select("path", "blob_sha", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 def queries() -> dict:
     plain = (
         search_literal_topk, search_multi_query_topk, cosine_edge_cases, truncate_normalize, blob_sha_catalog, sha_to_paths, text_blob_filter, size_guard, search_with_paths,
-        search_path_prefix, search_stale_excluded, similar_excludes_copies, format_results, update_new_blobs, gc_retained, gc_pruned_count, status_counts, index_upsert, chunk_lines,
-        chunk_stats, weighted_pool, masked_mean_pool, batch_plan, batch_config, index_codec_roundtrip, embed_documents, stream_update, git_tree_scan,
+        search_path_prefix, search_stale_excluded, search_packed, similar_excludes_copies, format_results, update_new_blobs, gc_retained, gc_pruned_count, status_counts, index_upsert, chunk_lines,
+        chunk_stats, weighted_pool, masked_mean_pool, batch_plan, batch_config, index_codec_roundtrip, embed_documents, stream_update, engine_update, engine_status, git_tree_scan,
     )
     return {"similar_topk_full": _similar_vectors(64), "similar_topk_prefix16": _similar_vectors(16), "similar_topk_prefix32": _similar_vectors(32)} | {f.__name__: f for f in plain}
 
 
-def _cos(a: str, b: str, n: str) -> str:
+def _cos(a: str, b: str, n: str, places: int = 6) -> str:
     a, b = f"CAST(({a})[1:{n}] AS DOUBLE[])", f"CAST(({b})[1:{n}] AS DOUBLE[])"
-    return f"round(CASE WHEN {n} = 0 OR sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) = 0 THEN 0 ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END, 6)"
+    return f"round(CASE WHEN {n} = 0 OR sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) = 0 THEN 0 ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END, {places})"
 
 
 _EXT = "lower(regexp_extract(path, '(\\.[^.]*)$', 1))"
@@ -288,7 +284,8 @@ def _similar_sql(n: int) -> str:
 
 
 def _search_sql(index: str, q: str, n: int, top: int, more: str = "") -> str:
-    return f"SELECT {_cos('i.vec', 'q.v', str(n))} AS score, path, t.blob_sha FROM {index} i JOIN tree t USING (blob_sha), ({q}) q WHERE true {more} ORDER BY score DESC, path LIMIT {top}"
+    best = f"SELECT {_cos('i.vec', 'q.v', str(n), 12)} AS s, path, t.blob_sha FROM {index} i JOIN tree t USING (blob_sha), ({q}) q WHERE true {more} ORDER BY s DESC, path LIMIT {top}"
+    return f"SELECT round(s, 6) AS score, path, blob_sha FROM ({best})"
 
 
 def _vec(k: int) -> str:
@@ -305,10 +302,11 @@ _LINES = (
     "ch AS (SELECT f.doc_id, f.c AS chunk_idx, count(*) AS n_lines, CAST(sum(l2.n) AS BIGINT) AS tokens, md5(string_agg(l2.line, chr(10) ORDER BY l2.i)) AS chunk_md5 FROM f JOIN l2 USING (doc_id, i) GROUP BY ALL)"
 )
 _BATCH = (
-    "r AS (SELECT source, doc_id // 500 AS slice, doc_id, tokens, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY tokens, doc_id) AS k FROM (SELECT source, doc_id, least(len(list_filter(string_split(text, ' '), lambda w: w <> '')), 512) AS tokens FROM documents)), "
-    "b AS (SELECT source, slice, k, doc_id, CAST(1 AS BIGINT) AS size, CAST(0 AS BIGINT) AS batch FROM r WHERE k = 1 UNION ALL "
-    "SELECT r.source, r.slice, r.k, r.doc_id, CASE WHEN b.size >= 8 OR (b.size + 1) * r.tokens > 4096 THEN 1 ELSE b.size + 1 END, CASE WHEN b.size >= 8 OR (b.size + 1) * r.tokens > 4096 THEN b.batch + 1 ELSE b.batch END FROM b JOIN r ON r.source = b.source AND r.slice = b.slice AND r.k = b.k + 1)"
+    "r AS (SELECT doc_id, tokens, row_number() OVER (ORDER BY tokens, doc_id) AS k FROM (SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS tokens FROM documents)), "
+    "b AS (SELECT k, doc_id, tokens, CAST(1 AS BIGINT) AS size, CAST(0 AS BIGINT) AS batch FROM r WHERE k = 1 UNION ALL "
+    "SELECT r.k, r.doc_id, r.tokens, CASE WHEN b.size >= 8 OR (b.size + 1) * r.tokens > 4096 THEN 1 ELSE b.size + 1 END, CASE WHEN b.size >= 8 OR (b.size + 1) * r.tokens > 4096 THEN b.batch + 1 ELSE b.batch END FROM b JOIN r ON r.k = b.k + 1)"
 )
+_READABLE = f"{_IS_TEXT} AND strlen(text) BETWEEN 1 AND 102400"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -339,6 +337,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_stats": f"WITH RECURSIVE {_LINES} SELECT doc_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS largest FROM ch GROUP BY doc_id",
         "weighted_pool": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(CASE WHEN sum(w) = 0 THEN 0 ELSE sum(CAST(embedding[i] AS DOUBLE) * w) / sum(w) END, 6) AS value FROM (SELECT label, embedding, CAST(vec_id % 7 AS DOUBLE) AS w, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i",
         "masked_mean_pool": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(sum(CAST(embedding[i] AS DOUBLE) * m) / greatest(sum(m), 1e-9), 6) AS value FROM (SELECT label, embedding, CASE WHEN vec_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS m, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i",
-        "batch_plan": f"WITH RECURSIVE {_BATCH} SELECT source, slice, doc_id, batch FROM b",
+        "batch_plan": f"WITH RECURSIVE {_BATCH} SELECT doc_id, tokens, batch FROM b",
+        "search_packed": f"{_ALL} {_search_sql('idx', _vec(TARGET), 48, 25)}",
+        "index_codec_roundtrip": f"{_BOTH} SELECT blob_sha, CAST(len(vec) AS INTEGER) AS dims, round(list_sum(CAST(vec AS DOUBLE[])), 6) AS total, '{schema.MODEL}' AS model FROM fresh",
+        "stream_update": f"WITH {_TREE} SELECT DISTINCT blob_sha, CAST(64 AS INTEGER) AS dims FROM tree WHERE {_READABLE}",
+        "engine_update": f"WITH {_TREE}, a AS (SELECT DISTINCT blob_sha FROM tree WHERE {_READABLE} AND doc_id % 3 <> 0), b AS (SELECT blob_sha FROM a WHERE blob_sha IN (SELECT blob_sha FROM tree WHERE doc_id % 2 = 0) UNION SELECT blob_sha FROM tree WHERE {_READABLE} AND doc_id % 2 = 0) SELECT blob_sha, CAST(64 AS INTEGER) AS dims FROM b WHERE blob_sha IN (SELECT blob_sha FROM tree WHERE doc_id % 5 <> 0)",
+        "engine_status": f"WITH {_TREE} SELECT count(*) AS total, count(DISTINCT blob_sha) FILTER ({_READABLE}) AS indexed, 'hashing-64' AS model, 64 AS dims, count(*) FILTER ({_READABLE}) AS entries, count(DISTINCT blob_sha) FILTER ({_READABLE}) AS \"distinct\", count(*) FILTER ({_IS_TEXT} AND strlen(text) NOT BETWEEN 1 AND 102400) AS skipped FROM tree",
+        "git_tree_scan": f"WITH {_TREE} SELECT path, blob_sha, strlen(text) AS n_bytes FROM tree",
         "batch_config": f"SELECT available, CAST({size} AS INTEGER) AS batch_size, CAST(CASE WHEN {size} >= 32 THEN 16384 ELSE greatest({size} * 512, 512) END AS INTEGER) AS batch_tokens FROM (VALUES " + ", ".join(f"({m}::BIGINT)" for m in MEMORY) + ") t(available)",
     }

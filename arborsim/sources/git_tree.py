@@ -2,7 +2,8 @@
 
 ``spark.read.format("git_tree").option("path", repo).load()`` gives path, blob_sha and content. Listing is done
 once on the driver; contents are read on executors, in slices of the list, and only if asked for
-(``.option("content", "false")`` leaves them null). The repository must be reachable from the executors.
+(``.option("content", "false")`` leaves them null); ``contents`` reads those of chosen hashes. The repository must
+be reachable from the executors.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import os
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arborsim.schema import BLOBS
@@ -106,3 +109,30 @@ class GitTree(DataSource):
 def read(spark, path: str | None = None, content: bool = True):
     spark.dataSource.register(GitTree)
     return spark.read.format("git_tree").option("path", find_repo(path)).option("content", str(content).lower()).load()
+
+
+def contents(shas: DataFrame, path: str | None = None) -> DataFrame:
+    """blob_sha, content of each row of shas(blob_sha), read on the executors that hold the rows."""
+    repo = find_repo(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(read_blobs(repo, some.column(0).to_pylist())), pa.binary())], names=["blob_sha", "content"])
+
+    return shas.select("blob_sha").mapInArrow(run, "blob_sha string, content binary")
+
+
+def make(path: str, files: Iterator[tuple[str, bytes]]) -> str:
+    """A new bare repository at the path with one commit of the files (path, content), through one git process."""
+    subprocess.run(["git", "init", "-q", "--bare", path], check=True, capture_output=True)
+    _git(path, "symbolic-ref", "HEAD", "refs/heads/main")
+    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, "fast-import", "--quiet"], stdin=subprocess.PIPE) as p:
+        p.stdin.write(b"commit refs/heads/main\ncommitter arborsim <arborsim@example.com> 0 +0000\ndata 0\n")
+        for name, data in files:
+            p.stdin.write(b"M 100644 inline %b\ndata %d\n%b\n" % (name.encode(), len(data), data))
+        p.stdin.close()
+    if p.returncode:
+        raise OSError(f"git fast-import ended with {p.returncode}")
+    return path

@@ -1,79 +1,67 @@
-"""Git hooks that keep an index up to date: install, uninstall and probe."""
+"""Git hooks that keep an index up to date: install, uninstall and probe.
+
+Each hook holds one section between two marker lines; what stands around it is never touched.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
-MARKER = "# arborsim"
-HOOKS = (("post-commit", "update"), ("post-merge", "update"), ("post-checkout", "update"))
-SHEBANG = "#!/bin/sh"
+BEGIN, END = "# >>> arborsim >>>", "# <<< arborsim <<<"
+HOOKS = {"post-commit": "update", "post-merge": "update", "post-checkout": "update"}
+SHELL = "#!/bin/sh\n"
+_SECTION = re.compile(f"\n?{re.escape(BEGIN)}\n.*?{re.escape(END)}(?:\n|$)", re.DOTALL)
+
+
+def section(command: str) -> str:
+    """Runs the command in the background, where it is installed."""
+    return f"\n{BEGIN}\nif type arborsim > /dev/null 2>&1; then (arborsim {command} > /dev/null 2>&1 &); fi\n{END}\n"
 
 
-def snippet(command: str) -> str:
-    return f"{MARKER}\ncommand -v arborsim >/dev/null 2>&1 || exit 0\narborsim {command} >/dev/null 2>&1 &\n"
+def _body(path: Path) -> str | None:
+    """The file's text; None if there is none to read."""
+    try:
+        return path.read_text()
+    except (OSError, UnicodeDecodeError):
+        return None
 
 
-def without_section(text: str, put: str = "") -> str:
-    """text without our sections (marker line to the next empty line, which goes too); ``put`` replaces the first."""
-    out, inside = [], False
-    for line in text.splitlines():
-        if line.startswith(MARKER):
-            if put:
-                out.append(put.rstrip("\n"))
-                put = ""
-            inside = True
-        elif not inside:
-            out.append(line)
-        elif not line:
-            inside = False
-    return "".join(f"{line}\n" for line in out)
+def _files(git_dir: str) -> dict[str, Path]:
+    return {name: Path(git_dir) / "hooks" / name for name in HOOKS}
 
 
 def installed(git_dir: str) -> list[str]:
-    found = []
-    for name, _ in HOOKS:
-        try:
-            if MARKER in (Path(git_dir) / "hooks" / name).read_text():
-                found.append(name)
-        except (OSError, UnicodeDecodeError):
-            pass
-    return found
+    return [name for name, path in _files(git_dir).items() if BEGIN in (_body(path) or "")]
 
 
 def missing(git_dir: str) -> list[str]:
     have = installed(git_dir)
-    return [name for name, _ in HOOKS if name not in have]
+    return [name for name in HOOKS if name not in have]
 
 
 def install(git_dir: str) -> dict[str, str]:
     """What was done for each hook: created, appended or updated. Safe to repeat."""
-    folder, did = Path(git_dir) / "hooks", {}
-    folder.mkdir(parents=True, exist_ok=True)
-    for name, command in HOOKS:
-        path = folder / name
+    did = {}
+    for name, path in _files(git_dir).items():
+        path.parent.mkdir(parents=True, exist_ok=True)
         old = path.read_text() if path.exists() else None
-        if old is None:
-            new, did[name] = f"{SHEBANG}\n{snippet(command)}", "created"
-        elif MARKER in old:
-            new, did[name] = without_section(old, snippet(command)), "updated"
-        else:
-            new, did[name] = old + ("" if old.endswith("\n") else "\n") + "\n" + snippet(command), "appended"
-        path.write_text(new)
+        did[name] = "created" if old is None else "updated" if BEGIN in old else "appended"
+        rest = SHELL if old is None else _SECTION.sub("", old)
+        path.write_text(rest + ("" if rest.endswith("\n") else "\n") + section(HOOKS[name]))
         os.chmod(path, 0o755)
     return did
 
 
 def uninstall(git_dir: str) -> dict[str, str]:
     """What was done for each of our hooks: removed (nothing else was in it) or cleaned."""
-    did = {}
+    did, files = {}, _files(git_dir)
     for name in installed(git_dir):
-        path = Path(git_dir) / "hooks" / name
-        rest = without_section(path.read_text())
-        if rest.strip() in ("", SHEBANG):
-            path.unlink()
-            did[name] = "removed"
+        rest = _SECTION.sub("", files[name].read_text())
+        if rest.strip() in ("", SHELL.strip()):
+            files[name].unlink()
         else:
-            path.write_text(rest)
-            did[name] = "cleaned"
+            files[name].write_text(rest)
+        did[name] = "cleaned" if files[name].exists() else "removed"
     return did

@@ -1,7 +1,8 @@
-"""The index as versioned Parquet folders and a pointer to the current one.
+"""The index as Parquet folders and a pointer to those that are current.
 
-A save writes a new folder, then swaps the pointer, so a reader never sees half an index and a failed save
-leaves the last one as it was. All paths go through Hadoop's file systems.
+A save writes a new folder and an append one more; then the pointer is replaced by an atomic rename. A reader
+never sees half an index or none, and a failed save leaves the last one as it was. All paths go through Hadoop's
+file systems.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._p("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._p("").getFileSystem(self._conf)
 
     def _p(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -38,15 +40,21 @@ class IndexStore:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        fresh = f".{name}.{uuid.uuid4().hex}"
-        out = self._fs.create(self._p(fresh), True)
+        fresh = self._p(f".{name}.{uuid.uuid4().hex}")
+        out = self._fs.create(fresh, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        self._fs.delete(self._p(name), False)
-        if not self._fs.rename(self._p(fresh), self._p(name)):
-            raise OSError(f"can't move the pointer in {self.path}")
+        self._replace(fresh, self._p(name))
+
+    def _replace(self, fresh, old) -> None:
+        """One rename over the old file: at no time is there none."""
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        fresh, old = self._fs.makeQualified(fresh), self._fs.makeQualified(old)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self._conf).rename(fresh, old, over)
 
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], schema.INDEX)
@@ -58,33 +66,73 @@ class IndexStore:
             return None
         try:
             found = json.loads(text)
-            return found if {"dir", "version", "model", "dims"} <= found.keys() else None
+            if {"dirs", "rows", "version", "model", "dims"} <= found.keys():
+                return found
         except (ValueError, AttributeError):
-            log.warning("stored index is damaged; starting empty")
-            return None
+            pass
+        log.warning("stored index is damaged; starting empty")
+        return None
+
+    def _rows(self, dirs: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema.INDEX).parquet(*(f"{self.path}/{d}" for d in dirs))
 
     def load(self, strict_model: str | None = None) -> tuple[schema.IndexMeta, DataFrame]:
-        """(meta, index); defaults and no rows if nothing (readable) is stored."""
+        """(meta, index); defaults and no rows if nothing (readable) is stored.
+
+        The rows are counted, for which only the files' footers are read: a file that is missing, cut or no Parquet
+        any more makes the index a damaged one.
+        """
         at = self.current()
         if at is None:
             return schema.IndexMeta(), self.empty()
         if strict_model and at["model"] != strict_model:
             raise ValueError(f"the index was made with {at['model']}, not {strict_model}")
         try:
-            return schema.IndexMeta(at["version"], at["model"], at["dims"]), self.spark.read.schema(schema.INDEX).parquet(f"{self.path}/{at['dir']}")
+            index = self._rows(at["dirs"])
+            if (found := index.count()) != at["rows"]:
+                raise ValueError(f"{found} rows of {at['rows']}")
         except Exception as e:  # noqa: BLE001 - a damaged index loads as an empty one
-            log.warning("stored index can't be read (%s); starting empty", e)
+            log.warning("stored index is damaged (%s); starting empty", str(e).split("\n", 1)[0])
             return schema.IndexMeta(), self.empty()
+        return schema.IndexMeta(at["version"], at["model"], at["dims"]), index
 
-    def save(self, index: DataFrame, meta: schema.IndexMeta = schema.IndexMeta()) -> None:
-        """Replaces the whole index. The folder before the last stays for readers that still use it."""
-        before = self.current()
+    def _put(self, index: DataFrame, meta: schema.IndexMeta) -> tuple[str, int]:
+        """A new folder with the rows, and their number."""
         name = f"v{time.time_ns()}"
         checked = index.select("blob_sha", F.when(F.size("vec") == meta.dims, F.col("vec")).otherwise(F.raise_error(F.lit("a vector's length isn't the index's dims"))).alias("vec"))
         checked.write.parquet(f"{self.path}/{name}")
-        self._write("CURRENT", json.dumps({"dir": name, "version": meta.version, "model": meta.model, "dims": meta.dims, "before": before["dir"] if before else None}))
-        if before and before.get("before"):
-            self._fs.delete(self._p(before["before"]), True)
+        return name, self._rows([name]).count()
+
+    def _point(self, dirs: list[str], rows: int, meta: schema.IndexMeta, before: list[str]) -> None:
+        self._write("CURRENT", json.dumps({"dirs": dirs, "rows": rows, "version": meta.version, "model": meta.model, "dims": meta.dims, "before": before}))
+
+    def save(self, index: DataFrame, meta: schema.IndexMeta = schema.IndexMeta()) -> int:
+        """Replaces the whole index by one folder. The folders before stay for readers that still use them, until the next save."""
+        before = self.current()
+        name, rows = self._put(index, meta)
+        self._point([name], rows, meta, before["dirs"] if before else [])
+        for old in before.get("before", []) if before else ():
+            self._fs.delete(self._p(old), True)
+        return rows
+
+    def append(self, new: DataFrame, meta: schema.IndexMeta = schema.IndexMeta()) -> int:
+        """Adds rows of contents that aren't indexed, in a folder of their own; nothing that is stored is written again."""
+        at = self.current()
+        if at is None:
+            return self.save(new, meta)
+        if (at["model"], at["dims"]) != (meta.model, meta.dims):
+            raise ValueError(f"the index was made with {at['model']} ({at['dims']}), not {meta.model} ({meta.dims})")
+        name, rows = self._put(new, meta)
+        if rows:
+            self._point([*at["dirs"], name], at["rows"] + rows, meta, at["before"])
+        else:
+            self._fs.delete(self._p(name), True)
+        return rows
+
+    def compact(self) -> int:
+        """Puts the folders of appends into one."""
+        meta, index = self.load()
+        return self.save(index, meta)
 
     def clear(self) -> bool:
         """Whether there was an index."""
