@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from arborsim.llm import common
 from arborsim.llm.sharding import bucket, shuffled
+from arborsim.operators import ordering
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rates at equally spaced times from 0 to 1, by weight class: late, steady, early.
@@ -31,21 +32,26 @@ SCHEDULES = ((0.5, 1.0, 1.5), (1.0, 1.0, 1.0), (1.6, 1.0, 0.4))
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[tuple[str | None, int, float, int]]:
-    """(source, size, target, weight class) of each (source, size)."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size, left, open_, out = dict(order), share * sum(n for _, n in order), [s for s, _ in order], {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > most * size[s]]
-        if not full:
-            out |= {s: left * weight[s] / total for s in open_}
+def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target, _class (of its weight) and _n (rows) of each source of rows(source, size).
+
+    Sources may be many: they are numbered along a range shuffle, and each round of sharing out again asks the table
+    for three sums. A source is full once its part at the present rate a weight is above its bound; the rate only
+    rises, so there are no more rounds than sources, and few where bounds are alike.
+    """
+    sums = rows.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    at = ordering.numbered(sums.withColumn("_lost", F.col("source").isNull()), ["_lost", "source"], "_k")
+    kind = (F.col("_k") % len(weights)).cast("int")
+    table = common.materialise(at.select("source", "source_size", "_n", kind.alias("_class"), F.get(F.array(*map(F.lit, weights)), kind).alias("_weight")), "mix-sources")
+    bound, rate, full = F.col("source_size") * F.lit(float(most)), 0.0, -1
+    whole = table.agg(F.sum("source_size")).first()[0] or 0
+    while True:
+        over = F.col("_weight") * rate > bound
+        n, words, open_ = table.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("_weight")))).first()
+        if n == full:
             break
-        out |= {s: most * size[s] for s in full}
-        left -= sum(most * size[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return [(s, n, float(out[s]), i % len(weights)) for i, (s, n) in enumerate(order)]
+        full, rate = n, (share * whole - most * (words or 0)) / open_ if open_ else float("inf")
+    return table.select("source", "source_size", F.when(over, bound).otherwise(F.col("_weight") * rate).alias("target"), "_class", "_n")
 
 
 def when(share: Column, rates: Sequence[float]) -> Column:
@@ -66,21 +72,17 @@ def when(share: Column, rates: Sequence[float]) -> Column:
 def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = 1.5, most: int = 2, bucket_rows: int | None = None) -> DataFrame:
     """rows(source, size, _shuffle, ...) with source_size, target, copies, taken and times (of each copy).
 
-    rows is read several times: give a narrow, materialised table. The list of sources and their sizes is
-    collected to make the targets: one row for each source.
+    rows is read several times: give a narrow, materialised table. Neither rows nor sources are collected.
     """
-    spark = rows.sparkSession
-    sums = [(r[0], r[1] or 0, r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()]
-    plan = [(*t,) for t in targets([(s, n) for s, n, _ in sums], weights, share, most)]
-    table = spark.createDataFrame(plan, "_s string, source_size long, target double, _class int")
-    rows = rows.withColumn("_b", bucket("_shuffle", sum(n for *_, n in sums), bucket_rows)[0])
+    table = common.materialise(targets(rows, weights, share, most).withColumnRenamed("source", "_s"), "mix-targets")
+    rows = rows.withColumn("_b", bucket("_shuffle", table.agg(F.sum("_n")).first()[0] or 0, bucket_rows)[0])
     ties = [F.col(c) for c in rows.columns if c not in ("_b", "_shuffle")]
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "_b").orderBy(*shuffled("_shuffle"), *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = rows.groupBy("source", "_b").agg(F.sum("size").alias("_w"))
     before = F.coalesce(F.sum("_w").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = whole.select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), before.alias("_before"))
     out = rows.withColumn("_in", inside).join(whole, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
-    out = out.join(table, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_start", F.col("_before") + F.col("_in"))
+    out = out.join(table.drop("_n"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_start", F.col("_before") + F.col("_in"))
     starts = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("_start") + e * F.col("source_size"))
     out = out.withColumn("_starts", F.filter(starts, lambda s: (F.col("size") > 0) & (s + F.col("size") / 2.0 < F.col("target"))))
     at = F.transform("_starts", lambda s: F.coalesce(*[F.when(F.col("_class") == i, when(s / F.col("target"), schedules[i % len(schedules)])) for i in range(len(weights))]))

@@ -717,12 +717,33 @@ def test_shards_do_not_depend_on_buckets(docs, monkeypatch):
 # 8
 
 
-def test_targets():
-    got = curriculum.targets([("b", 100), (None, 10), ("a", 100), ("c", 1000)])
-    assert [s for s, *_ in got] == ["a", "b", "c", None]
-    assert sum(t for _, _, t, _ in got) == pytest.approx(1.5 * 1210)
-    assert all(t <= 2 * n + 1e-9 for _, n, t, _ in got)
-    assert curriculum.targets([]) == []
+def brute_targets(sizes, weights=curriculum.WEIGHTS, share=1.5, most=2.0):
+    """(source, size, target, weight class) of each (source, size)."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    size, left, open_, out = dict(order), share * sum(n for _, n in order), [s for s, _ in order], {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > most * size[s]]
+        if not full:
+            out |= {s: left * weight[s] / total for s in open_}
+            break
+        out |= {s: most * size[s] for s in full}
+        left -= sum(most * size[s] for s in full)
+        open_ = [s for s in open_ if s not in out]
+    return [(s, n, float(out[s]), i % len(weights)) for i, (s, n) in enumerate(order)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [("b", 100), (None, 10), ("a", 100), ("c", 1000)] if not seed else [(f"s{i}" if i else None, int(rng.choice([0, 1, 50, 10_000, 300_000]))) for i in range(9 * seed)]
+    rows = spark.createDataFrame([(s, n - n // 2) for s, n in sizes] + [(s, n // 2) for s, n in sizes], "source string, size long").repartition(3)
+    got = {r.source: (r.source_size, r.target, r["_class"]) for r in curriculum.targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == {s for s, *_ in want} and sum(t for _, t, _ in got.values()) == pytest.approx(1.5 * sum(n for _, n in sizes))
+    assert all(got[s] == (n, pytest.approx(t), k) for s, n, t, k in want)
+    assert curriculum.targets(rows.limit(0)).count() == 0
 
 
 def test_when_inverts_the_integral(spark):
@@ -771,7 +792,7 @@ def brute_mix(rows):
     for r in rows:
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
     grid, out = np.linspace(0, 1, 200_001), {}
-    for source, total, target, kind in curriculum.targets(list(sizes.items())):
+    for source, total, target, kind in brute_targets(list(sizes.items())):
         rates = curriculum.SCHEDULES[kind]
         rate = np.interp(grid, np.linspace(0, 1, len(rates)), rates)
         area = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
