@@ -29,12 +29,13 @@ from arborsim.llm import common
 
 #: Control strings of common chat templates. None may occur unescaped inside a text.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_ESCAPE = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
+#: Each alternative begins with a plain character: only there does the search stop.
+_ESCAPE = re.compile("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROL))
 _START, _END = CONTROL[:2]
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "".join(g for g in m.groups() if g is not None).replace(m[0][0], m[0][0] + "\\", 1), text)
+    return _ESCAPE.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:

@@ -290,6 +290,66 @@ def test_jaccard_deals_hot_tokens(docs, monkeypatch):
     assert counted(tuple(r) for r in jaccard_join.join(docs).collect()) == counted(brute_groups(texts(docs)))
 
 
+def test_jaccard_tells_sets_with_one_hash_apart(spark, docs, monkeypatch):
+    """Where all sets share their first hash, the second is the node."""
+    real = jaccard_join.set_hash
+
+    def clash(doc, token, n, seed=1):
+        size, h = real(doc, token, n, seed)
+        return size, h % 3 if seed == 1 else h
+
+    monkeypatch.setattr(jaccard_join, "set_hash", clash)
+    assert counted(tuple(r) for r in jaccard_join.join(docs).collect()) == counted(brute_groups(texts(docs)))
+
+
+def brute_shingles(text, size):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text))
+    return len({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}) if w else 0
+
+
+def test_shingles_of_many_short_and_of_very_long_texts():
+    import pyarrow as pa
+
+    from arborsim.llm import shingles as sh
+
+    short = [f"w{i} w{i % 7} x".encode() if i % 5 else None if i % 2 else b"" for i in range(70_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(short, pa.binary())], names=["t"])
+    parts = sh.slices(batch, 0, 3 << 20)
+    assert max(p.num_rows for p in parts) <= 1 << 16 and sum(p.num_rows for p in parts) == 70_000
+    found = np.concatenate([np.bincount(sh.shingles(p.column(0), 2)[0], minlength=p.num_rows) for p in parts])
+    assert found.tolist() == [brute_shingles(t or b"", 2) for t in short]
+    with pytest.raises(ValueError):
+        sh.shingles(batch.column(0), 2)
+    rng = np.random.default_rng(5)
+    long = b" ".join(b"v%d" % i for i in rng.integers(0, 40_000, 300_000)) + b"  \n" + b"y" * 700_000 + b" " * 300_000 + b"Tail"
+    texts_ = [long, b"a b c d e", long.upper(), b"", long + b" more"]
+    doc, token = sh.shingles(pa.array(texts_, pa.binary()), 4)
+    assert np.bincount(doc, minlength=5).tolist() == [brute_shingles(t, 4) for t in texts_]
+    n, h = sh.set_hash(doc, token, 5)
+    assert h[0] == h[2] != h[4]
+
+
+def test_rows_of_hot_keys_are_dealt(spark, tmp_path):
+    from arborsim.llm import common
+
+    rows = [(7, i) for i in range(3000)] + [(i, i) for i in range(1000)] + [(None, 1)] * 500
+    left = common.materialise(spark.createDataFrame(rows, "k long, v long"), "t")
+    right = spark.createDataFrame([(i, str(i)) for i in range(0, 1000, 2)] + [(7, "seven")], "k long, w string")
+    for how in ("inner", "left"):
+        got = common.dealt_join(left, right, "k", how=how)
+        assert counted(map(tuple, got.collect())) == counted(map(tuple, left.join(right, "k", how).select(got.columns).collect()))
+        assert counted(map(tuple, common.dealt_join(left, right, "k", left["v"], how).collect())) == counted(map(tuple, got.collect()))
+        assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_raise_rather_than_stop(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=1)
+    assert {r.root for r in components(path).collect()} == {0}
+    assert components(path.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 450), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -929,6 +989,48 @@ def test_reply_tree_query(spark, sf, tmp_path):
 # all of them
 
 
+def test_pii_query_columns(spark, sf, docs):
+    got = {r.doc_id: r for r in registry.queries()["op2_pii"](spark, sf).collect()}
+    for d, t in texts(docs):
+        base = brute_spans(t)
+        told = ",".join(f"{pii_crf.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        r = got[d]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert set(told.split(",")) - {""} <= set(every) and len(every) == r.n_spans
+        assert every == sorted(every, key=lambda x: (int(x.split(":")[1]), pii_crf.KINDS.index(x.split(":")[0])))
+
+
+def test_shards_query_columns(spark, sf, docs):
+    got = registry.queries()["op7_shards"](spark, sf).toPandas()
+    want = {d: (len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts(docs)}
+    assert len(got) == len(want) and all(want[d] == (a, b) for d, a, b in zip(got["doc_id"], got["size"], got["text_crc32"]))
+    sizes = got.groupby("shard")["slot"].agg(["count", "min", "max"])
+    assert sorted(sizes.index) == list(range(40)) and sizes["count"].max() - sizes["count"].min() <= 1
+    assert (sizes["min"] == 0).all() and (sizes["max"] == sizes["count"] - 1).all()
+    assert set(got["law"]) == {"rows"} and got["grown_shard"].isna().all()
+
+
+def test_mix_query_columns_and_reruns(spark, sf, tmp_path):
+    """The same rows from a second run, and from a copy of the files elsewhere."""
+    import shutil
+
+    shutil.copy(f"{sf}/documents.parquet", f"{tmp_path}/documents.parquet")
+    runs = [[tuple(r) for r in curriculum.op8_curriculum(spark, d).collect()] for d in (sf, sf, f"file://{tmp_path}")]
+    assert runs[0] == runs[1] == runs[2]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    total = {}
+    for r in docs:
+        total[r.source] = total.get(r.source, 0) + size[r.doc_id]
+    target = {s: t for s, _, t, _ in brute_targets(list(total.items()))}
+    for doc_id, n, source_size, want, taken, copies, _, source in runs[0]:
+        assert (n, source_size) == (size[doc_id], total[source]) and want == pytest.approx(target[source]) and taken == copies * n <= 2 * n
+    for s in total:
+        assert abs(sum(r[4] for r in runs[0] if r[7] == s) - target[s]) <= max(size.values()) / 2
+
+
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_queries_keep_their_columns(spark, sf, name):
     df = registry.queries()[name](spark, sf)
