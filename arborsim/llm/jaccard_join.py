@@ -29,6 +29,7 @@ rows like others; a null doc_id takes part but names no component unless it is a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -261,10 +262,9 @@ def _survivors(percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their exact intersection, of those that share prefix tokens under every order."""
+    """Of a table of pairs (a, b), those that share prefix tokens under every order and link, by their exact intersection."""
     orders = [f"p{o}" for o in range(ORDERS)]
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"), *(F.col(p).alias(f"{p}{x}") for p in orders))
-    pairs = common.materialise(pairs, "jaccard-pairs")
     full = common.dealt_join(pairs, side("a"), "a", F.xxhash64("b"))
     full = common.dealt_join(full, side("b"), "b", F.xxhash64("a"), counted=pairs)
     for p in orders:
@@ -362,7 +362,10 @@ def _crossing(nodes: DataFrame, comp: DataFrame, percent: int, hot: list[list[tu
 
 
 def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, root of each row of docs(doc_id, text), and key if docs has it; rows of one component share root."""
+    """doc_id, n, root of each row of docs(doc_id, text), and key if docs has it, as a table; rows of one component share root.
+
+    What was written on the way is deleted as soon as it is read.
+    """
     spark = docs.sparkSession
     made = common.materialise(_sets(docs, size), "jaccard-sets")
     sets = made.where("kind = 0").drop("kind")
@@ -380,22 +383,28 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     posts = _postings(docs, size, labels, hot, met).repartition(tasks, "label").mapInArrow(common.trimmed(_shared(labels)), BY_NODE)
     schema = "node long, n long, own long, keys binary, " + ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
     nodes = common.materialise(posts.repartition(tasks, "label").mapInArrow(common.trimmed(_survivors(percent)), schema), "jaccard-nodes")
-    comp = nodes.select("node", F.col("node").alias("root"))
-    links, hot_groups = None, _hot_groups(nodes)
+    comp, old = nodes.select("node", F.col("node").alias("root")), []
+    links, hot_groups = [], _hot_groups(nodes)
     for o in range(ORDERS + 1):
         pairs = _stars(nodes, comp, o, percent, hot_groups[o]) if o < ORDERS else _crossing(nodes, comp, percent, hot_groups)
-        new = common.materialise(_verified(pairs, nodes, percent), "jaccard-links")
-        if new.isEmpty():
+        pairs = common.materialise(pairs, "jaccard-pairs")
+        links.append(common.materialise(_verified(pairs, nodes, percent), "jaccard-links"))
+        common.drop(pairs)
+        if links[-1].isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        roots = components(reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v")))
         comp = common.materialise(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-roots")
-    return common.dealt_join(sets, comp.where("node <> root"), "node", how="left").withColumn("root", F.coalesce("root", "node")).drop("node")
+        common.drop(roots, *old)
+        old = [comp]
+    by = common.dealt_join(sets, comp.where("node <> root"), "node", how="left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    by = common.materialise(by, "jaccard-rows")
+    common.drop(made, nodes, *links, *old)
+    return by
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
-    by = common.materialise(_linked(docs.select("doc_id", "text"), size, percent), "jaccard-rows")
+    by = _linked(docs.select("doc_id", "text"), size, percent)
     least = by.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = common.dealt_join(by, least, "root", how="left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
