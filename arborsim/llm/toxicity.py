@@ -10,10 +10,10 @@ insult at all. Only clauses in which an insult or a threat occurs are walked; is
 
 Insult words are a list of fixed values and words and word beginnings learned from labels: those whose document
 frequency differs most between toxic and other rows, each with its log odds as weight. The marks' weights are
-the log odds of documents with a mark against those with a plain insult, drawn towards the values in ``MARKS``
-where labels are few. Clause weights are summed up for a document and a logistic curve, fitted on other labelled
-rows, gives the score. The fit uses at most about ``max_rows`` labelled rows, chosen by a hash of their id and
-never held out.
+the log odds of documents all of whose insults or threats have the mark against those with plain insults only,
+drawn towards the values in ``MARKS`` where such documents are few. Clause weights are summed up for a document
+and a logistic curve, fitted on other labelled rows, gives the score. The fit uses at most ``max_rows`` labelled
+rows, those of the least hashes of their id and never held out.
 
 Null and empty texts score as texts without matches. Without labels the curve falls back to a fixed one. Very
 long texts are read once, clause by clause. Repeated rows and clashing columns don't matter.
@@ -185,9 +185,10 @@ class ToxicityModel:
         """Weights of the marks, from what documents with each of them are labelled."""
         found: dict[str, list[int]] = {m: [0, 0] for m in ("", *MARKS)}
         for text, y in rows:
-            out = {o for c in self.clauses(text, every=True) for o in c[4]}
-            for m in {m for o in out for m in o[1:] or ([o] if o == "H" else [""] if o == I else []) if m in found}:
-                found[m][y] += 1
+            said = [o for c in self.clauses(text, every=True) for o in c[4] if o[0] in (I, "H")]
+            if said:  # marks of all that is said, so that what else the document says has no part in its label
+                for m in set.intersection(*({*o[1:], *(["H"] if o[0] == "H" else [])} or {""} for o in said)):
+                    found[m][y] += 1
         odds = {m: np.log((b + 0.5) / (a + 0.5)) for m, (a, b) in found.items()}
         self.marks = {m: float((sum(found[m]) * (odds[m] - odds[""]) + TRUST * w) / (sum(found[m]) + TRUST)) for m, w in MARKS.items()}
         self.__dict__.pop("_classes", None)
