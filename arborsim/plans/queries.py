@@ -247,6 +247,44 @@ def engine_status(spark: SparkSession, d: str) -> DataFrame:
     return engine.status(tree).select("*", *(F.lit(did[k]).cast("long").alias(k) for k in ("entries", "distinct", "skipped")))
 
 
+def task_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """What a model reads of a document and of a query."""
+    both = _table(spark, d, "documents").select("doc_id", "lang", text.with_task(F.col("text"), "document").alias("document"), text.with_task(F.col("lang"), "query").alias("query"))
+    return both.select("doc_id", F.md5(F.col("document").cast("binary")).alias("document_md5"), "query")
+
+
+class _Fixed(embed.HashingEmbedder):
+    """Gives one vector for whatever it reads."""
+
+    def __init__(self, vec: list[float]):
+        super().__init__(len(vec))
+        self.vec = vec
+
+    def embed_batch(self, texts: list[str]):
+        import numpy as np
+
+        return np.array([self.vec] * len(texts), np.float32)
+
+
+def _stored(spark: SparkSession, d: str, embedder: embed.Embedder | None = None):
+    """An engine whose store holds the index."""
+    from arborsim.plans.engine import Engine
+
+    engine = Engine(spark, scratch.path(spark, "engine"), embedder)
+    engine.store.save(_index(spark, d, True), schema.IndexMeta(dims=64))
+    return engine
+
+
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    engine = _stored(spark, d, _Fixed(_query_vector(spark, d)))
+    return _found(engine.search(["any", "words"], _tree(spark, d), SearchOptions(64, 12, "src")))
+
+
+def engine_similar(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d)
+    return _found(_stored(spark, d).similar(tree.where(F.col("doc_id") == TARGET).first()["path"], tree, SearchOptions(64, 15)))
+
+
 def git_tree_scan(spark: SparkSession, d: str) -> DataFrame:
     """The files of a repository that is made of the tree, through one git process, in the shared folder."""
     from arborsim.sources import git_tree
@@ -260,7 +298,7 @@ def queries() -> dict:
     plain = (
         search_literal_topk, search_multi_query_topk, cosine_edge_cases, truncate_normalize, blob_sha_catalog, sha_to_paths, text_blob_filter, size_guard, search_with_paths,
         search_path_prefix, search_stale_excluded, search_packed, similar_excludes_copies, format_results, update_new_blobs, gc_retained, gc_pruned_count, status_counts, index_upsert, chunk_lines,
-        chunk_stats, weighted_pool, masked_mean_pool, batch_plan, batch_config, index_codec_roundtrip, embed_documents, stream_update, engine_update, engine_status, git_tree_scan,
+        chunk_stats, weighted_pool, masked_mean_pool, batch_plan, batch_config, index_codec_roundtrip, embed_documents, stream_update, engine_update, engine_status, engine_search, engine_similar, task_prefix, git_tree_scan,
     )
     return {"similar_topk_full": _similar_vectors(64), "similar_topk_prefix16": _similar_vectors(16), "similar_topk_prefix32": _similar_vectors(32)} | {f.__name__: f for f in plain}
 
@@ -343,6 +381,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_update": f"WITH {_TREE} SELECT DISTINCT blob_sha, CAST(64 AS INTEGER) AS dims FROM tree WHERE {_READABLE}",
         "engine_update": f"WITH {_TREE}, a AS (SELECT DISTINCT blob_sha FROM tree WHERE {_READABLE} AND doc_id % 3 <> 0), b AS (SELECT blob_sha FROM a WHERE blob_sha IN (SELECT blob_sha FROM tree WHERE doc_id % 2 = 0) UNION SELECT blob_sha FROM tree WHERE {_READABLE} AND doc_id % 2 = 0) SELECT blob_sha, CAST(64 AS INTEGER) AS dims FROM b WHERE blob_sha IN (SELECT blob_sha FROM tree WHERE doc_id % 5 <> 0)",
         "engine_status": f"WITH {_TREE} SELECT count(*) AS total, count(DISTINCT blob_sha) FILTER ({_READABLE}) AS indexed, 'hashing-64' AS model, 64 AS dims, count(*) FILTER ({_READABLE}) AS entries, count(DISTINCT blob_sha) FILTER ({_READABLE}) AS \"distinct\", count(*) FILTER ({_IS_TEXT} AND strlen(text) NOT BETWEEN 1 AND 102400) AS skipped FROM tree",
+        "engine_search": f"{_ALL} {_search_sql('idx', _vec(TARGET), 64, 12, "AND starts_with(path, 'src')")}",
+        "engine_similar": f"{_ALL} {_search_sql('idx', f'SELECT vec AS v, blob_sha AS own FROM fresh WHERE blob_sha = (SELECT blob_sha FROM tree WHERE doc_id = {TARGET})', 64, 15, 'AND t.blob_sha <> q.own')}",
+        "task_prefix": f"SELECT doc_id, md5(concat('{schema.PREFIX_DOCUMENT}', text)) AS document_md5, concat('{schema.PREFIX_QUERY}', lang) AS query FROM documents",
         "git_tree_scan": f"WITH {_TREE} SELECT path, blob_sha, strlen(text) AS n_bytes FROM tree",
         "batch_config": f"SELECT available, CAST({size} AS INTEGER) AS batch_size, CAST(CASE WHEN {size} >= 32 THEN 16384 ELSE greatest({size} * 512, 512) END AS INTEGER) AS batch_tokens FROM (VALUES " + ", ".join(f"({m}::BIGINT)" for m in MEMORY) + ") t(available)",
     }
